@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ NEVER = np.int64(1) << 62
 #: Pre-tokens up to so many bytes are merged together in numpy rows.
 WIDE = 64
 #: So many numpy rows at a time, and so many known pre-tokens in a worker before the table starts anew.
-ROWS, KNOWN = 8192, 150_000
+ROWS, KNOWN = 8192, 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -174,6 +175,12 @@ class SegmentTreeBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+@cache
+def worker_table(ranks: bytes) -> tuple[SegmentTreeBPE, dict[str, bytes]]:
+    """One encoder and one table of known pre-tokens for each worker process, which its later tasks find filled."""
+    return SegmentTreeBPE(load_ranks(ranks)), {}
+
+
 def narrow_split(pattern: str, below: int = 0x250):
     """The pattern for Python's faster ``re``, right for texts whose code points are all under ``below``.
 
@@ -208,11 +215,10 @@ class _Encode:
     def start(self) -> None:
         import regex
 
-        self.bpe = SegmentTreeBPE(load_ranks(self.ranks.value))
+        self.bpe, self.known = worker_table(self.ranks.value)
         wide, narrow = regex.compile(self.pattern).findall, narrow_split(self.pattern)
         other = re.compile("[^\x00-\u024f]").search
         self.split = wide if narrow is None else lambda t: wide(t) if other(t) else narrow(t)
-        self.known: dict[str, bytes] = {}
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
         known, out = self.known, {"n_tokens": [], **{k: [] for k in self.keep}}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, token_files
+from .shared import shared_dir
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -28,3 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
         keep=("ids_sha256", "decoded_sha256"),
     )
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/sievelake/token_files-{uuid.uuid4().hex}"
+    token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return token_files.read_token_files(spark, path, keep=("ids_crc32",))
