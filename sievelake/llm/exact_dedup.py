@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, stored
+from .shared import BLANKS, stored, whole
 
 SALTS = 16
 LARGEST = 2**63 - 1
@@ -40,8 +40,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     # The better row has the larger number: more code points, then the smaller id. A number, not a struct, so that
     # the aggregates hash instead of sorting whole texts. It holds 31 bits of size above 20 digits of id.
-    before = F.coalesce(F.lit(LARGEST + 1).cast("decimal(20,0)") - F.col("id").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
-    better = (F.col("size").cast("decimal(10,0)") * F.lit(10**20).cast("decimal(21,0)") + before).cast("decimal(38,0)")
+    before = F.coalesce(whole(LARGEST + 1) - F.col("id").cast("decimal(20,0)"), whole(0))
+    better = (F.col("size").cast("decimal(10,0)") * whole(10**20) + before).cast("decimal(38,0)")
     salted = (
         rows.select("digest", "body", better.alias("best"), (F.spark_partition_id() % SALTS).alias("salt"))
         .groupBy("digest", "body", "salt")
@@ -50,8 +50,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     groups = salted.groupBy("digest", "body").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
 
     def winner(rows: DataFrame) -> DataFrame:
-        rest = F.pmod(F.col("best"), F.lit(10**20).cast("decimal(21,0)")) - 1
-        return rows.withColumn("keep_id", F.when(rest >= 0, (F.lit(LARGEST).cast("decimal(20,0)") - rest).cast("bigint")))
+        rest = F.pmod(F.col("best"), whole(10**20)) - 1
+        return rows.withColumn("keep_id", F.when(rest >= 0, (whole(LARGEST) - rest).cast("bigint")))
 
     by_digest = winner(groups.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.count("*").alias("texts")))
     table = stored(by_digest.select("digest", "keep_id", "group_size", "texts"), "exact_dedup")

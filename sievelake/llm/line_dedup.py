@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import NOT_BLANKS, let, stored, whole
 
 #: Ends fall where ``(hash + FACTOR * hash of the line before) % EVERY`` is 0: a chunk has EVERY lines on average.
 FACTOR, EVERY, MIN_LINES = 31, 3, 2
@@ -22,13 +22,17 @@ FACTOR, EVERY, MIN_LINES = 31, 3, 2
 
 def chunks(text: Column, every: int = EVERY) -> Column:
     """The chunks of a text: array of (pos, start, end), as line numbers from 0 with the end left out."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint"))
-    ends = F.filter(
-        F.transform(hashes, lambda h, i: F.when((i == F.size(hashes) - 1) | ((h + F.when(i > 0, FACTOR * F.get(hashes, i - 1)).otherwise(0)) % every == 0), i + 1)),
-        lambda end: end.isNotNull(),
-    )
-    return F.transform(ends, lambda end, k: F.struct(k.alias("pos"), F.coalesce(F.get(ends, k - 1), F.lit(0)).alias("start"), end.alias("end")))
+    hashes = F.transform(F.split(text, "\n", -1), lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint"))
+
+    def ends(h: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), h)
+        falls = F.zip_with(h, before, lambda now, last: (now + FACTOR * last) % every == 0)  # one longer, with a null
+        return let(F.size(h), lambda n: F.filter(F.transform(falls, lambda f, i: F.when((i < n) & (f | (i == n - 1)), i + 1)), lambda end: end.isNotNull()))
+
+    def cut(e: Column) -> Column:
+        return F.transform(e, lambda end, k: F.struct(k.alias("pos"), F.coalesce(F.get(e, k - 1), F.lit(0)).alias("start"), end.alias("end")))
+
+    return let(let(hashes, ends), cut)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, min_lines: int = MIN_LINES) -> DataFrame:
@@ -43,16 +47,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     """
     lines = F.split(F.col(text_col), "\n", -1)
     held = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    cut = held.select("__key", F.col(id_col).alias("__id"), lines.alias("__lines"), F.explode(chunks(F.col(text_col), every)).alias("__c")).select(
-        "__key",
-        "__id",
-        F.col("__c.pos").alias("pos"),
-        (F.col("__c.end") - F.col("__c.start")).alias("n"),
-        F.array_join(F.slice("__lines", F.col("__c.start") + 1, F.col("__c.end") - F.col("__c.start")), "\n").alias("body"),
-    )
+    def bodies(own: Column) -> Column:
+        return F.transform(chunks(F.col(text_col), every), lambda c: F.struct(c["pos"].alias("pos"), (c["end"] - c["start"]).alias("n"), F.array_join(F.slice(own, c["start"] + 1, c["end"] - c["start"]), "\n").alias("body")))
+
+    # Joined inside the array: exploding line numbers would copy all lines of a document beside each chunk.
+    cut = held.select("__key", F.col(id_col).alias("__id"), F.explode(let(lines, bodies)).alias("__c")).select("__key", "__id", "__c.*")
     # The smaller number is the earlier occurrence; a number, so that the aggregate hashes instead of sorting texts.
-    order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), F.lit(2**63).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-    cut = cut.filter((F.col("n") >= min_lines) & (F.length(F.regexp_replace("body", r"\s+", "")) > 0)).select("__key", "pos", "n", "body", F.unhex(F.md5("body")).alias("digest"), order.alias("order"))
+    order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), whole(2**63)) * whole(2**31) + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
+    cut = cut.filter((F.col("n") >= min_lines) & F.col("body").rlike(NOT_BLANKS)).select("__key", "pos", "n", "body", F.unhex(F.md5("body")).alias("digest"), order.alias("order"))
     # Occurrences of one row repeated have one order and key: they count once, by the largest and the smallest order.
     groups = cut.groupBy("digest", "body").agg(F.min("order").alias("first"), F.max("order").alias("last"))
     table = stored(groups.groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("texts")).filter("first < last"), "line_dedup")
@@ -64,7 +66,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
         gone = gone.unionByName(cut.join(clash, "digest", "left_semi").join(apart, ["digest", "body"]).filter("order > first").select("__key", "pos", "n"))
     gone = gone.distinct().groupBy("__key").agg(F.collect_list("pos").alias("__gone"), F.sum("n").alias("__n"))
     left = F.filter(chunks(F.col(text_col), every), lambda c: ~F.array_contains("__gone", c["pos"]))
-    text = F.array_join(F.flatten(F.transform(left, lambda c: F.slice(lines, c["start"] + 1, c["end"] - c["start"]))), "\n")
+    text = let(lines, lambda own: F.array_join(F.flatten(F.transform(left, lambda c: F.slice(own, c["start"] + 1, c["end"] - c["start"]))), "\n"))
     return (
         held.join(gone, "__key", "left")
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
@@ -85,7 +87,7 @@ numbered AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended),
 cut AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL),
 marked AS (
-  SELECT *, n >= {MIN_LINES} AND length(regexp_replace(body, '\\s+', '', 'g')) > 0
+  SELECT *, n >= {MIN_LINES} AND regexp_matches(body, '[^\\x09-\\x0D\\x20]')
             AND row_number() OVER (PARTITION BY body, n >= {MIN_LINES} ORDER BY doc_id, pos) > 1 AS gone FROM cut)
 SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS lines_removed,
        count(*) FILTER (WHERE gone) AS chunks_removed, coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,6 +90,16 @@ def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it inside its own lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def whole(n: int) -> Column:
+    """A literal of any size: a decimal without fraction."""
+    return F.lit(Decimal(n))
+
+
 def unit_random(seed: int, *columns: Column) -> Column:
     """A number inside (0, 1) that depends on the seed and the columns alone."""
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
