@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, token_files
+from . import brown_lm, byte_bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, token_files
 from .shared import shared_dir
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -80,3 +80,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
+@query
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = brown_lm.fit(docs.filter(langid.fold("doc_id", 7) != 2))
+    held_out = langid.fold("doc_id", 7) == 2
+    return brown_lm.score(docs, model).withColumn("held_out", held_out)

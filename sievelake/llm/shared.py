@@ -76,7 +76,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str
             work.start()
         for part in slices(batches, text):
             columns = work(part)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
