@@ -68,7 +68,8 @@ class Automaton:
                 for k in range(int(m[3])):
                     if k >= int(m[2]):
                         end_of.append(len(self.steps) - 1)
-                    self.steps[-1][ANY] = state()
+                    last = len(self.steps) - 1
+                    self.steps[last][ANY] = state()
                 end = len(self.steps) - 1
                 for s in end_of:
                     self.free[s].append(end)
