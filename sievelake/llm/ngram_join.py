@@ -19,7 +19,9 @@ document sees the same table.
 Candidates are verified on whole sets, in two steps that spare groups of near copies their square: first each set of
 a signature's bucket against one pivot; then, of buckets whose sets the verified links so far leave in several
 components, the sets outside the bucket's largest component against all others not of their own.  Pairs inside
-one component aren't looked at: they can't change it.
+one component aren't looked at: they can't change it.  A pair is made only if sizes and parity bitmaps allow the link: a
+bitmap holds, for each of BITS folds of the hashes, whether the set has an odd number of them, so two bitmaps
+differ in at most as many places as the sets in members.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ from .shared import arrow_map, slices, stored, texts, values
 
 WORDS, THRESHOLD = 4, 85
 #: Counters of the table, and how many times a counter's mean load makes a shingle frequent.
-COUNTERS, FREQUENT = 1 << 20, 4
+COUNTERS, FREQUENT = 1 << 22, 3
+#: Places of a parity bitmap, kept as 64-bit integers.
+BITS = 1024
 #: Counters are summed in so many pieces.
 PIECES = 64
 #: Below so many shingles all are indexed one by one: there are too few to combine.
@@ -94,6 +98,11 @@ def set_key(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def parity(found: np.ndarray) -> list[int]:
+    odd = np.bincount((found >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def slack(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100)
 
@@ -145,21 +154,22 @@ class _Sets:
         self.id_col, self.text_col, self.words = id_col, text_col, words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, kind, some = np.zeros(COUNTERS, dtype=np.int64), pa.int64(), False
+        counters, kind, some = np.zeros(COUNTERS, dtype=np.uint32), pa.int64(), False
 
-        def rows(ids, sizes, keys, pieces, counts) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(pieces, pa.int32()), pa.array(counts, pa.binary())], names=["id", "n", "key", "piece", "counts"])
+        def rows(ids, sizes, keys, bits, pieces, counts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(pieces, pa.int32()), pa.array(counts, pa.binary())], names=["id", "n", "key", "bits", "piece", "counts"])
 
         for batch in slices(batches, self.text_col):
             kind = batch.schema.field(self.id_col).type
             found = [shingles(t, self.words) for t in texts(batch, self.text_col)]
             some = True
-            counters += np.bincount((np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            at, times = np.unique(np.concatenate(found) & np.uint64(COUNTERS - 1), return_counts=True)
+            counters[at] += times.astype(np.uint32)
             none = [None] * len(found)
-            yield rows(values(batch, self.id_col), [len(f) for f in found], [set_key(f) if f.size else None for f in found], none, none)
+            yield rows(values(batch, self.id_col), [len(f) for f in found], [set_key(f) if f.size else None for f in found], [parity(f) if f.size else None for f in found], none, none)
         if some:
-            for piece, part in enumerate(np.split(np.minimum(counters, 2**32 - 1).astype("<u4"), PIECES)):
-                yield rows([None], [None], [None], [piece], [zstandard.compress(part.tobytes(), 1)])
+            for piece, part in enumerate(np.split(counters.astype("<u4"), PIECES)):
+                yield rows([None], [None], [None], [None], [piece], [zstandard.compress(part.tobytes(), 1)])
 
 
 def summed_counters(pieces: DataFrame) -> np.ndarray:
@@ -190,14 +200,16 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Documents with equal sets link through the smallest id among them, so copies cost one set.  Null and empty texts,
     or those of white space alone, have no shingle and link with nothing.  Ids are integers; a null id is a row of its
-    own component (null) unless its set is another's, too.  Rows that share an id count as one document's.
+    own component (null) unless its set is another's, too.  Rows that share an id
+    are taken for one row repeated.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(id_col, text_col)
     work = _Sets(id_col, text_col, words)
-    both = stored(source.mapInArrow(lambda batches: work(batches), f"id {kind}, n bigint, key binary, piece int, counts binary"), "ngram_sets")
+    both = stored(source.mapInArrow(lambda batches: work(batches), f"id {kind}, n bigint, key binary, bits array<bigint>, piece int, counts binary"), "ngram_sets")
     docs = both.filter("piece is null").select("id", "n", "key")
+    bits = both.filter("piece is null").select("id", "bits")
     counters = summed_counters(both.filter("piece is not null").select("piece", "counts"))
     frequent = max(8, int(FREQUENT * counters.sum(dtype=np.int64) / COUNTERS))
     table = spark.sparkContext.broadcast(zstandard.compress(counters.tobytes(), 1))
@@ -273,11 +285,16 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     # Second step: buckets whose sets are of several components still.
     labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = stored(labelled.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).filter("low != high").select("sig", "id", "n", "label"), "ngram_mixed")
+    labelled = labelled.join(bits.join(labelled.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id")
+    parts = range(BITS // 64)
+    labelled = labelled.select("sig", "id", "n", "label", *(F.get("bits", F.lit(i)).alias(f"x{i}") for i in parts))
     largest = labelled.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
     marked = labelled.join(largest, "sig").withColumn("first", F.min("id").over(bucket))
-    few = marked.filter("label != main").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "first")
-    all_of = marked.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("in_main"))
-    cross = few.join(all_of, "sig").filter((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits("na", "nb") & (F.col("a") != F.col("first")) & (F.col("b") != F.col("first")))
+    few = marked.filter("label != main").select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "first", *(f"x{i}" for i in parts))
+    all_of = marked.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("in_main"), *(F.col(f"x{i}").alias(f"y{i}") for i in parts))
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in parts), F.lit(0))
+    close = (100 + threshold) * apart <= (100 - threshold) * (F.col("na") + F.col("nb"))
+    cross = few.join(all_of, "sig").filter((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits("na", "nb") & (F.col("a") != F.col("first")) & (F.col("b") != F.col("first")) & close)
     more = stored(verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "ngram_links")
     found = components(links.union(more)) if not more.isEmpty() else labels
 
