@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,16 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     (pointer jumping), so long chains halve; it ends when no label changes.  Labels are aggregated on the map side,
     so a node with very many links is no single task's work.
     """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    scratch = Scratch(links.sparkSession, "components")
+    edges = scratch(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
+    labels = scratch(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        new = stored(new, "labels")
+        new = scratch(new, "labels")
         for _ in range(2):
             step = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
             new = new.join(step, "label").select("node", F.col("next").alias("label"), "was")
-        new = stored(new, "labels")
+        new = scratch(new, "labels")
         if new.filter("label != was").isEmpty():
-            return new.select("node", "label")
+            out = stored(new.select("node", "label"), "labels")
+            scratch.drop()
+            return out
         labels = new.select("node", "label")

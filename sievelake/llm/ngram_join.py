@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, slices, stored, texts, values
+from .shared import Scratch, arrow_map, slices, stored, texts, values
 
 WORDS, THRESHOLD = 4, 85
 #: Counters of the table, and how many times a counter's mean load makes a shingle frequent.
@@ -205,9 +205,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    source = df.select(id_col, text_col)
+    source, scratch = df.select(id_col, text_col), Scratch(spark, "ngram")
     work = _Sets(id_col, text_col, words)
-    both = stored(source.mapInArrow(lambda batches: work(batches), f"id {kind}, n bigint, key binary, bits array<bigint>, piece int, counts binary"), "ngram_sets")
+    both = scratch(source.mapInArrow(lambda batches: work(batches), f"id {kind}, n bigint, key binary, bits array<bigint>, piece int, counts binary"), "sets")
     docs = both.filter("piece is null").select("id", "n", "key")
     bits = both.filter("piece is null").select("id", "bits")
     counters = summed_counters(both.filter("piece is not null").select("piece", "counts"))
@@ -232,10 +232,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     postings = source.mapInArrow(index, "sig bigint, key binary, n int")
     bucket = Window.partitionBy("sig")
     shared = postings.withColumn("low", F.min("key").over(bucket)).withColumn("high", F.max("key").over(bucket)).filter("low != high").select("sig", "key", "n")
-    shared = stored(shared, "ngram_postings")
+    shared = scratch(shared, "postings")
 
     sets = docs.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    members = stored(shared.distinct().join(sets, "key").select("sig", F.col("rep").alias("id"), "n"), "ngram_members")
+    members = scratch(shared.distinct().join(sets, "key").select("sig", F.col("rep").alias("id"), "n"), "members")
     nodes = members.select("id").distinct()
 
     class Pack:
@@ -244,7 +244,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             return {"id": values(batch, id_col), "text": [small.compress(t.encode()) for t in texts(batch, text_col)]}
 
     packed = arrow_map(source, Pack(), f"id {kind}, text binary", text_col)
-    bodies = stored(packed.join(nodes, "id", "left_semi"), "ngram_bodies")
+    bodies = scratch(packed.join(nodes, "id", "left_semi"), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +279,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     # First step: every set of a bucket against the bucket's first.
     pivoted = members.withColumn("pivot", F.min(F.struct("id", "n")).over(bucket)).filter(fits("n", "pivot.n") & (F.col("id") != F.col("pivot.id")))
-    links = stored(verified(pivoted.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()), "ngram_links")
+    links = scratch(verified(pivoted.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()), "links")
     labels = components(links)
 
     # Second step: buckets whose sets are of several components still.
     labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = stored(labelled.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).filter("low != high").select("sig", "id", "n", "label"), "ngram_mixed")
+    labelled = scratch(labelled.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).filter("low != high").select("sig", "id", "n", "label"), "mixed")
     labelled = labelled.join(bits.join(labelled.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id")
     parts = range(BITS // 64)
     labelled = labelled.select("sig", "id", "n", "label", *(F.get("bits", F.lit(i)).alias(f"x{i}") for i in parts))
@@ -295,8 +295,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in parts), F.lit(0))
     close = (100 + threshold) * apart <= (100 - threshold) * (F.col("na") + F.col("nb"))
     cross = few.join(all_of, "sig").filter((F.col("la") != F.col("lb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fits("na", "nb") & (F.col("a") != F.col("first")) & (F.col("b") != F.col("first")) & close)
-    more = stored(verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "ngram_links")
+    more = scratch(verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
     found = components(links.union(more)) if not more.isEmpty() else labels
 
     firsts = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
-    return docs.join(firsts, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = docs.join(firsts, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = stored(out, "ngram_components")
+    scratch.drop()
+    return out
