@@ -1,21 +1,9 @@
-"""Percentiles and tests on numbers."""
+"""Tests on numbers."""
 
 from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def nearest_rank(c: Column, p: float) -> Column:
-    """Aggregate: the value at place ``min(n - 1, floor(p / 100 * n))`` of the sorted values; 0 without values.
-
-    No built-in percentile is this one. The values are kept as value and count (``histogram`` of distinct
-    values), so a group's state follows its distinct values: meant for lengths and counts.
-    """
-    return F.coalesce(F.get(F.array_sort(F.collect_list(c)), F.least(F.count(c) - 1, F.floor(F.lit(p) / 100 * F.count(c))).cast("int")), F.lit(0))
-
 
 def sign_test(wins: int, losses: int) -> float:
     """Two-sided exact sign test, ties left out."""

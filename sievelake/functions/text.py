@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def norm(c: Column) -> Column:
 
 def norm_any(c: Column) -> Column:
     """``norm`` for text in any Unicode form: composed to form C and case-folded in full (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         import re

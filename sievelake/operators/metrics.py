@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.repetition import copy_share, is_looping, repeats
@@ -47,6 +47,20 @@ def run_stats(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def nearest_ranks(df: DataFrame, groups: tuple[str, ...], value: str, percents: dict[str, float]) -> DataFrame:
+    """Per group, for each name in ``percents``: the value at place ``min(n - 1, floor(p / 100 * n))`` of the sorted values.
+
+    No built-in percentile is this one. Values are counted first, so what is sorted, even for a group that has most rows, is its
+    distinct values. Nulls don't count; without groups an empty table gives zeros.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(*groups)
+    counts = counts.withColumn("__n", F.sum("__c").over(own)).withColumn("__upto", F.sum("__c").over(own.orderBy(value)))
+    place = lambda p: F.least(F.col("__n") - 1, F.floor(F.lit(p) / 100 * F.col("__n")))
+    at = {name: F.min(F.when(F.col("__upto") > place(p), F.col(value))) for name, p in percents.items()}
+    return counts.groupBy(*groups).agg(*((c if groups else F.coalesce(c, F.lit(0))).alias(name) for name, c in at.items()))
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Aggregate: mean of losses by their token counts."""
     return F.sum(value * weight) / F.sum(weight)
@@ -88,11 +102,16 @@ def chrf(df: DataFrame, keys: tuple[str, ...], hypothesis: str = "text", referen
     def grams(column: str, side: str) -> DataFrame:
         chars = F.regexp_replace(F.col(column), r"(?U)\s", "")
         ws = _pieces(F.filter(F.split(F.col(column), r"(?U)\s+"), lambda w: w != ""))
-        kinds = [F.transform(F.regexp_extract_all(chars, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g, n=n: F.struct(F.lit(n).alias("o"), g.alias("g"))) for n in range(1, CHAR_ORDER + 1)]
-        for n in range(1, WORD_ORDER + 1):
-            order = CHAR_ORDER + n
-            runs = let(ws, lambda w, n=n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " ")))
-            kinds.append(F.transform(runs, lambda g, order=order: F.struct(F.lit(order).alias("o"), g.alias("g"))))
+
+        def marked(found: Column, order: int) -> Column:
+            return F.transform(found, lambda g: F.struct(F.lit(order).alias("o"), g.alias("g")))
+
+        def runs(n: int) -> Column:
+            starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return let(ws, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+        kinds = [marked(F.regexp_extract_all(chars, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), n) for n in range(1, CHAR_ORDER + 1)]
+        kinds += [marked(runs(n), CHAR_ORDER + n) for n in range(1, WORD_ORDER + 1)]
         rows = df.select(*keys, "id", F.explode(F.concat(*kinds)).alias("x"))
         return rows.groupBy(*keys, "id", F.col("x.o").alias("o"), F.col("x.g").alias("g")).agg(F.count("*").alias(side))
 

@@ -56,8 +56,10 @@ def split(df: DataFrame, validation: int = 100, id_col: str = "id", seed: int =
     The cut is the draw's value of that row: found by a top-k, so no window holds all rows.
     """
     h = draw(seed, id_col)
-    last = df.select(h.alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(validation).agg(F.max(F.struct("h", "i")).alias("cut"))
-    return df.crossJoin(F.broadcast(last)).withColumn("fold", F.when(F.struct(h, F.col(id_col)) <= F.col("cut"), "val").otherwise("train")).drop("cut")
+    last = df.select(h.alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(validation).agg(F.max(F.struct("h", "i")).alias("cut")).first()["cut"]
+    if last is None or validation < 1:
+        return df.withColumn("fold", F.lit("train"))
+    return df.withColumn("fold", F.when((h < last["h"]) | ((h == last["h"]) & (F.col(id_col) <= last["i"])), "val").otherwise("train"))
 
 
 def blind(df: DataFrame, id_col: str = "eval_id", seed: int = RATING_SEED) -> DataFrame:

@@ -329,7 +329,7 @@ def length_batches(spark, sf):
   SELECT lang, v[1]::BIGINT AS low, v[len(v)]::BIGINT AS high, v[least(len(v) - 1, floor(0.5 * len(v))::BIGINT) + 1]::BIGINT AS p50, v[least(len(v) - 1, floor(0.95 * len(v))::BIGINT) + 1]::BIGINT AS p95 FROM r""")
 def length_stats_nearest_rank(spark, sf):
     d = table(spark, sf, "documents").select("lang", text.word_count(F.col("text")).cast("bigint").alias("n"))
-    return d.groupBy("lang").agg(F.min("n").alias("low"), F.max("n").alias("high"), numbers.nearest_rank(F.col("n"), 50).alias("p50"), numbers.nearest_rank(F.col("n"), 95).alias("p95"))
+    return d.groupBy("lang").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(metrics.nearest_ranks(d, ("lang",), "n", {"p50": 50, "p95": 95}), "lang")
 
 
 @query(f"SELECT lang, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.95) AS p95, avg(n) AS mean FROM (SELECT lang, len({WORDS('text')})::DOUBLE AS n FROM documents) GROUP BY lang")
@@ -383,6 +383,15 @@ def copy_and_restate(spark, sf):
     return pairs(spark, sf).select("id", repetition.copy_share(F.col("response"), F.col("prompt")).alias("copied"), repetition.restates(F.col("response"), F.col("prompt")).alias("restated"))
 
 
+@query("""SELECT lang, least(1.0, 2 * sum(p)) AS p FROM (SELECT lang, w, l, unnest(range(0, least(w, l) + 1)) AS i FROM (
+  SELECT lang, count(*) FILTER (WHERE doc_id % 40 = 1) AS w, count(*) FILTER (WHERE doc_id % 40 = 2) AS l FROM documents GROUP BY lang)),
+  LATERAL (SELECT exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)) AS p) GROUP BY lang""")
+def sign_tests(spark, sf):
+    d = table(spark, sf, "documents")
+    rows = d.groupBy("lang").agg(F.count_if(F.col("doc_id") % 40 == 1).alias("w"), F.count_if(F.col("doc_id") % 40 == 2).alias("l")).collect()
+    return spark.createDataFrame([(r["lang"], numbers.sign_test(r["w"], r["l"])) for r in rows], "lang string, p double")
+
+
 @query()
 def generation_metrics(spark, sf):
     rows = pairs(spark, sf).select(F.lit("chat").alias("task"), F.col("response").alias("text"), "prompt", F.lit("am->en").alias("direction"), text.token_estimate(F.col("response")).alias("new_tokens"))

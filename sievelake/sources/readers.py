@@ -34,10 +34,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; fields may hold quotes (doubled) and line ends; a byte order mark is dropped."""
+    """All columns as text, empty where nothing stands; fields may hold quotes (doubled) and line ends; a byte order mark is dropped."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
     first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
+    df = df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +55,7 @@ def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_eval_text(spark: SparkSession, path: str) -> DataFrame:
     """The same of a plain text: prompts between lines of three or more dashes, or else one a line."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     dashed = F.split("value", r"(?m)^-{3,}\s*$", -1)
     parts = F.when(F.size(dashed) > 1, dashed).otherwise(F.split("value", r"\R", -1))
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelake.functions import json_tools, numbers, patterns, repetition, scripts, text
+from sievelake.operators import metrics
 
 SF = "/root/testdata/sf0.001"
 SIGNS = ".,;:!?()\"'«»፡።፣፤፥፦፧"
@@ -91,8 +92,9 @@ def test_numbers(spark):
     assert got[:3] == [0, 0, 4.5] and got[3] != got[3]
     assert df.filter(text.to_number(F.lit("nan")) < 4).count() == 0
     four = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "v int")
-    assert four.agg(*(numbers.nearest_rank(F.col("v"), p) for p in (0, 50, 95, 100))).first() == (1, 3, 4, 4)
-    assert four.filter("v > 9").agg(numbers.nearest_rank(F.col("v"), 50)).first()[0] == 0
+    percents = {f"p{p}": p for p in (0, 50, 95, 100)}
+    assert metrics.nearest_ranks(four, (), "v", percents).first() == (1, 3, 4, 4)
+    assert metrics.nearest_ranks(four.filter("v > 9"), (), "v", percents).first() == (0, 0, 0, 0)
     assert numbers.sign_test(17, 13) == pytest.approx(0.585, abs=5e-4) and numbers.sign_test(0, 0) == 1
 
 
