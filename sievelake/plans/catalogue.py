@@ -344,9 +344,11 @@ def kept_by_group_rollup(spark, sf):
     return d.rollup("lang", "source").agg(F.count("*").alias("n"), F.count("quality").alias("scored")).select(F.coalesce("lang", F.lit("ALL")).alias("lang"), F.coalesce("source", F.lit("ALL")).alias("source"), "n", "scored")
 
 
-@query("SELECT event_type AS label, avg(value) AS sec_per_answer_mean, quantile_cont(value, 0.5) AS sec_per_answer_median, sum(event_id % 300) / sum(value) AS tokens_per_sec, sum(event_id % 300)::BIGINT AS total_new_tokens, count(*) FILTER (WHERE event_id % 300 >= 256) AS n_hit_256 FROM events GROUP BY event_type")
+# Seconds are whole thousandths here: sums of integers are the same in any order.
+@query("""SELECT event_type AS label, avg(ms) AS sec_per_answer_mean, quantile_cont(ms, 0.5) AS sec_per_answer_median, sum(n) / sum(ms) AS tokens_per_sec,
+  sum(n)::BIGINT AS total_new_tokens, count(*) FILTER (WHERE n >= 256) AS n_hit_256 FROM (SELECT event_type, floor(value * 1000)::BIGINT AS ms, event_id % 300 AS n FROM events) GROUP BY event_type""")
 def run_stats(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("label"), F.col("value").alias("seconds"), (F.col("event_id") % 300).alias("new_tokens"))
+    e = table(spark, sf, "events").select(F.col("event_type").alias("label"), F.floor(F.col("value") * 1000).alias("seconds"), (F.col("event_id") % 300).alias("new_tokens"))
     return metrics.run_stats(e, ("label",))
 
 
@@ -383,9 +385,9 @@ def copy_and_restate(spark, sf):
     return pairs(spark, sf).select("id", repetition.copy_share(F.col("response"), F.col("prompt")).alias("copied"), repetition.restates(F.col("response"), F.col("prompt")).alias("restated"))
 
 
-@query("""SELECT lang, least(1.0, 2 * sum(p)) AS p FROM (SELECT lang, w, l, unnest(range(0, least(w, l) + 1)) AS i FROM (
-  SELECT lang, count(*) FILTER (WHERE doc_id % 40 = 1) AS w, count(*) FILTER (WHERE doc_id % 40 = 2) AS l FROM documents GROUP BY lang)),
-  LATERAL (SELECT exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)) AS p) GROUP BY lang""")
+@query("""SELECT lang, least(1.0, 2 * sum(factorial((w + l)::INT) // (factorial(i::INT) * factorial((w + l - i)::INT)))::DOUBLE / pow(2, any_value(w + l))) AS p
+  FROM (SELECT lang, w, l, unnest(range(0, least(w, l) + 1)) AS i FROM (
+  SELECT lang, count(*) FILTER (WHERE doc_id % 40 = 1) AS w, count(*) FILTER (WHERE doc_id % 40 = 2) AS l FROM documents GROUP BY lang)) GROUP BY lang""")
 def sign_tests(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.groupBy("lang").agg(F.count_if(F.col("doc_id") % 40 == 1).alias("w"), F.count_if(F.col("doc_id") % 40 == 2).alias("l")).collect()
