@@ -34,12 +34,17 @@ BLOCK, PERCENTILE = 128, 90
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 19
 #: So many known words in a worker before the table starts anew.
-KNOWN = 300_000
+KNOWN = 500_000
 HEAD = struct.Struct("<4sIIQI")
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1]
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+
+
+def word_type(width: int) -> str:
+    """Big-endian integers that hold ``width`` bits: their bits are in the order of a block's."""
+    return ">u2" if width <= 16 else ">u4"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +55,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     block = np.concatenate([ids, np.full(n * BLOCK - ids.size, ids[-1], dtype=np.uint32)]).reshape(n, BLOCK)
     low = block.min(axis=1)
     rest = block - low[:, None]
-    width = np.sort(bit_lengths(rest), axis=1)[:, BLOCK * PERCENTILE // 100]
-    odd = bit_lengths(rest) > width[:, None]
+    lengths = bit_lengths(rest)
+    width = np.partition(lengths, BLOCK * PERCENTILE // 100, axis=1)[:, BLOCK * PERCENTILE // 100].astype(np.int64)
+    odd = lengths > width[:, None]
     count = odd.sum(axis=1)
     size = 6 + BLOCK // 8 * width + 5 * count
     start = np.concatenate([[0], np.cumsum(size)])
@@ -63,7 +69,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not w:
             continue
         for rows in np.array_split(where := np.flatnonzero(width == w), -(-where.size // 512)):
-            bits = np.unpackbits(rest[rows].astype(">u4").view(np.uint8).reshape(-1, BLOCK, 4), axis=2)[:, :, 32 - w :]
+            words = (rest[rows] & np.uint32((1 << w) - 1)).astype(word_type(w))
+            bits = np.unpackbits(words.view(np.uint8).reshape(-1, BLOCK, words.itemsize), axis=2)[:, :, 8 * words.itemsize - w :]
             out[start[rows, None] + 6 + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(rows), -1), axis=1)
     row, place = np.nonzero(odd)
     nth = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
@@ -85,9 +92,10 @@ def unpack(data: np.ndarray, start: np.ndarray, n_ids: int) -> np.ndarray:
             continue
         for rows in np.array_split(where := np.flatnonzero(width == w), -(-where.size // 512)):
             bits = np.unpackbits(data[start[rows, None] + 6 + np.arange(BLOCK // 8 * w)], axis=1).reshape(-1, BLOCK, w)
-            full = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
-            full[:, :, 32 - w :] = bits
-            rest[rows] = np.packbits(full, axis=2).view(">u4").reshape(len(rows), BLOCK)
+            kind = np.dtype(word_type(w))
+            full = np.zeros((len(rows), BLOCK, 8 * kind.itemsize), dtype=np.uint8)
+            full[:, :, 8 * kind.itemsize - w :] = bits
+            rest[rows] = np.packbits(full, axis=2).view(kind).reshape(len(rows), BLOCK)
     row = np.repeat(np.arange(n), count)
     nth = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
     at = start[row] + 6 + BLOCK // 8 * width[row]
@@ -113,55 +121,52 @@ def read_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return counts, unpack(np.frombuffer(payload, dtype=np.uint8, offset=at + 4 * docs + 8 * blocks), start, n_ids)
 
 
-#: A word of ASCII letters and, behind them, signs that no rule of the pre-tokenizer joins with letters.
-SIMPLE = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'<\x80-\xff]*)").fullmatch
+#: A word of letters that are one code point in form C and lower to one, and, behind them, signs that no rule of the
+#: pre-tokenizer joins with letters. Letters beyond Latin-1 go through the whole encoder.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-z0-9'<\x80-\U0010ffff]*)").fullmatch
+#: How byte-level vocabularies write bytes: printable Latin-1 ones as themselves, all others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-class WordIds:
-    """Ids of texts by the public library, a known word at a time.
+class WordIds(dict):
+    """Ids of texts by the public library, a known word at a time: a table from words to ids that learns those it misses.
 
-    For tokenizers whose normaliser and pre-tokenizer never join what ASCII white space parts (the words'
-    ids one after the other are then the text's); equal words get equal ids, so they're looked up.  New
-    words go through the library: those of plain letters straight to its model (its normaliser
-    only lowers them, and its pre-tokenizer keeps them whole), all others through the whole encoder, many at once.
+    For tokenizers that lower their text and whose normaliser and pre-tokenizer never join what ASCII white space parts
+    (the words' ids one after the other are then the text's).  A new word goes through the library: plain
+    letters straight to its model (its normaliser only lowers them, its pre-tokenizer keeps them whole), all else
+    through the whole encoder.  The table starts anew when it's full.
     """
 
     def __init__(self, definition: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        known, split = self.known, [t.encode().split() for t in batch]  # of bytes: parts at ASCII white space alone
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = set().union(*split)
-        self.learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def learn(self, new: set[bytes]) -> None:
-        known, model = self.known, self.tokenizer.model
-        simple = {w: m for w in new if (m := SIMPLE(w))}
-        self.learn_whole(list((new - simple.keys()) | {t for m in simple.values() if (t := m[2]) and t not in known}))
-        for word, m in simple.items():
-            low = m[1].lower()
-            if (ids := known.get(low)) is None or low == word:
-                ids = known[low] = array("I", [t.id for t in model.tokenize(low.decode())]).tobytes()
-            known[word] = ids + known[m[2]] if m[2] else ids
-
-    def learn_whole(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = [w.decode() for w in words[i : i + 4096]]
-            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            first = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ids = np.array(found.ids, dtype="<u4")
-            place = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=ids.size)
-            cut = np.searchsorted(place, first).tolist()
-            for word, a, b in zip(words[i : i + 4096], cut, cut[1:]):
-                self.known[word] = ids[a:b].tobytes()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+
+    def __missing__(self, word: bytes) -> bytes:
+        simple = SIMPLE(word.decode())
+        if simple is None:
+            ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        elif simple[2]:
+            ids = self[simple[1].lower().encode()] + self[simple[2].encode()]
+        else:
+            low = simple[1].lower()
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(AS_LETTERS)
+            ids = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        self[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(self) > KNOWN:
+            self.clear()
+        raw = text.encode()
+        if b"<" not in raw:  # special tokens, which lowering could make, begin with it
+            raw = raw.lower()
+        return np.frombuffer(b"".join(map(self.__getitem__, raw.split())), dtype=self.code)  # split at ASCII white space alone
 
 
 @cache
@@ -180,23 +185,23 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_col].dataType.simpleString()
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq = word_ids(definition.value), TaskContext.get().partitionId(), 0
         names, held, total = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            counts = [len(x) // 4 for x in held]
-            payload = segment(counts, np.frombuffer(b"".join(held), dtype="<u4"))
+            counts = [x.size for x in held]
+            payload = segment(counts, np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (sum(counts), pa.int64()), (names, pa.list_(ids_type)), (payload, pa.binary()))], names=["part", "seq", "n_ids", "doc_ids", "payload"])
 
         for batch in slices(batches, text_col):
             ids_type = batch.schema.field(id_col).type
-            for name, ids in zip(values(batch, id_col), words(texts(batch, text_col))):
+            for name, text in zip(values(batch, id_col), texts(batch, text_col)):
                 names.append(name)
-                held.append(ids + end)
-                total += len(held[-1]) // 4
+                held.append(np.concatenate([words(text), end]))
+                total += held[-1].size
                 if total >= SEGMENT_IDS:
                     yield flush()
                     names, held, total, seq = [], [], 0, seq + 1
