@@ -85,14 +85,10 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = shuffle_parts(spark)
     bounds = id_bounds(df, id_col, parts)
     bucket = F.lit(0)
-    if bounds:  # the number of bounds that the id has reached, by halving
-        marks = F.array(*map(F.lit, bounds))
-        step = 1 << (len(bounds).bit_length() - 1)
-        bucket = F.lit(0)
-        while step:
-            ahead = F.try_element_at(marks, bucket + step)
-            bucket = bucket + F.when(ahead.isNotNull() & (F.col(id_col) >= ahead), step).otherwise(0)
-            step >>= 1
+    if bounds:  # the number of bounds that the id has reached, by halving; the running number is a variable, not a copy
+        steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        reached = lambda n, step: F.get(F.lit(bounds), n + step - 1) <= F.col(id_col)
+        bucket = F.aggregate(F.lit(steps), F.lit(0), lambda n, step: n + F.when(reached(n, step), step).otherwise(0))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), bucket.alias("bucket"))
     # First of each bucket, by (id, text): one small row a bucket, with the length of no text but its own.
     heads = rows.select("bucket", "id").groupBy("bucket").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("has_null"))
