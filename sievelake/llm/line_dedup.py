@@ -7,6 +7,9 @@ all documents together, stay where they occur first and are removed everywhere e
 
 Equal chunks are found by digest and whole text together; the digest alone only carries the decision back
 to the documents, after a check that it belongs to one text.
+
+Such chunks miss passages of one line and the ends of longer ones: a chunk with a repeated line mostly has a differing
+neighbour, too.  ``drop_passages`` takes those.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .shared import NOT_BLANKS, let, stored, whole
 
 #: Ends fall where ``(hash + FACTOR * hash of the line before) % EVERY`` is 0: a chunk has EVERY lines on average.
 FACTOR, EVERY, MIN_LINES = 31, 3, 2
+#: Words that a repeated passage has at least.
+LEAST_WORDS = 8
 
 
 def chunks(text: Column, every: int = EVERY) -> Column:
@@ -77,6 +82,52 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ev
     )
 
 
+def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """For each line of a text that isn't blank, the shortest run of such lines from it on, and the shortest that ends
+    with it, of at least ``least_words`` words: array of (start, at, digest), as number of the first line among those
+    that aren't blank, numbers of the lines in the text, and SHA-256 over the lines' SHA-256.
+
+    Every line of a passage of that many words lies in a run that lies in the passage, so equal runs find whole passages.
+    """
+
+    def run(part: Column) -> Column:
+        """How many lines from the first on have enough words; null if all have too few."""
+        step = lambda acc, x: F.when(acc["words"] >= least_words, acc).otherwise(F.struct((acc["words"] + x["words"]).alias("words"), (acc["n"] + 1).alias("n")))
+        return F.aggregate(part, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), step, lambda acc: F.when(acc["words"] >= least_words, acc["n"]))
+
+    def runs(own: Column) -> Column:
+        def of(start: Column, n: Column) -> Column:
+            part = F.slice(own, start + 1, n)
+            return F.struct(start.alias("start"), F.transform(part, lambda x: x["at"]).alias("at"), F.unhex(F.sha2(F.array_join(F.transform(part, lambda x: x["digest"]), ""), 256)).alias("digest"))
+
+        onward = F.transform(own, lambda x, i: let(run(F.slice(own, i + 1, least_words)), lambda n: F.when(n.isNotNull(), of(i, n))))
+        upto = F.transform(own, lambda x, i: let(run(F.reverse(F.slice(own, F.greatest(i + 2 - least_words, F.lit(1)), F.least(i + 1, F.lit(least_words))))), lambda n: F.when(n.isNotNull(), of(i + 1 - n, n))))
+        return F.filter(F.array_distinct(F.concat(onward, upto)), lambda x: x.isNotNull())
+
+    counted = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("at"), F.regexp_count(line, F.lit(NOT_BLANKS)).alias("words"), F.sha2(line, 256).alias("digest")))
+    return let(F.filter(counted, lambda x: x["words"] > 0), runs)
+
+
+def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``df`` without the passages of whole lines, one or more, that have at least ``least_words`` words
+    and stand earlier: in a row with a smaller id (an integer; null last), or before in the same text and apart.
+
+    Lines that aren't blank make a passage even if blank lines are between them; blank lines stay.  Each line that is
+    taken out stands where it occurs first.  Null texts stay null, and a text may become empty.
+    """
+    held = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    cut = held.select("__key", F.col(id_col).alias("__id"), F.explode(windows(F.col(text_col), least_words)).alias("__w")).select("__key", "__id", "__w.*")
+    order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), whole(2**63)) * whole(2**31) + F.col("start").cast("decimal(10,0)")).cast("decimal(38,0)")
+    cut = cut.select("__key", "at", "digest", order.alias("order"))
+    table = stored(cut.groupBy("digest").agg(F.min("order").alias("first"), F.max("order").alias("last")).filter("first < last").select("digest", "first"), "passages")
+    # A run that overlaps its first occurrence in the same text would take a part of that.
+    gone = cut.join(table, "digest").filter(F.col("order") - F.col("first") >= F.size("at")).select("__key", F.explode("at").alias("at"))
+    gone = gone.groupBy("__key").agg(F.collect_set("at").alias("__gone"))
+    lines = F.split(F.col(text_col), "\n", -1)
+    left = let(lines, lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone")), lambda i: F.get(own, i)), "\n"))
+    return held.join(gone, "__key", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).drop("__key", "__gone")
+
+
 ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),

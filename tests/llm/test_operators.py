@@ -294,6 +294,56 @@ def test_line_dedup(which, request, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def brute_passages(pairs, least):
+    """All runs of lines that have enough words, of any length, not the shortest ones alone."""
+    texts = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")] for i, t in pairs}
+    seen, out = {}, {}
+    for i in sorted(texts):
+        own, gone = texts[i], set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                body = tuple(x for _, x in own[a:b])
+                if sum(len(x.split()) for x in body) >= least:
+                    j, c = seen.setdefault(body, (i, a))
+                    if j < i or a - c >= b - a:
+                        gone |= {k for k, _ in own[a:b]}
+        out[i] = gone
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[i]) for i, t in pairs}
+
+
+def test_drop_passages(spark):
+    long, other = "a passage of nine words on one line only", "another line that has nine words, all on it"
+    made = [
+        (1, f"one\n{long}\ntwo"),
+        (2, f"three\n{long}\nfour\n\n{other}"),  # one line alone
+        (3, f"{other}\nfive six\nseven\n{long}\nend"),
+        (4, f"start\n{other}\nfive six\nseven\nrest"),  # short lines behind a long one
+        (5, "b1 b2 b3\nb4 b5\n \nb6 b7 b8"),
+        (6, "x\nb1 b2 b3\nb4 b5\nb6 b7 b8\ny"),  # only together enough
+        (7, "five six\nb4 b5\nseven"),  # too few
+        (8, "\n".join(["q q q q"] * 7)),  # itself again and again
+        (9, long),
+        (None, f"{long}\nnull"),
+        (10, None),
+    ]
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in rows(line_dedup.drop_passages(df))}
+    assert got[2] == f"three\nfour\n\n{other}" and got[3] == "five six\nseven\nend" and got[4] == "start\nrest"
+    assert got[6] == "x\ny" and got[7] == made[6][1] and got[8] == "q q q q\nq q q q" and got[9] == "" and got[None] == "null" and got[10] is None
+    assert len(got) == len(made)
+
+
+@pytest.mark.parametrize("least", [5, 8])
+def test_drop_passages_finds_all_runs(spark, least):
+    r = np.random.default_rng(11)
+    pool = [" ".join([f"p{k}"] * int(r.integers(1, 7))) for k in range(5)]
+    made = [(i, "\n".join(pool[k] if k < 5 else f"only {i}" for k in r.integers(0, 7, 9))) for i in range(25)]
+    got = {x["doc_id"]: x["text"] for x in rows(line_dedup.drop_passages(spark.createDataFrame(made, "doc_id bigint, text string"), least_words=least))}
+    # A long run that overlaps its first occurrence holds shorter ones that don't, so nothing else differs between documents.
+    want = brute_passages(made, least)
+    assert got == want and got != dict(made)
+
+
 def test_byte_bpe(docs, small, empty):
     import tiktoken
 

@@ -38,3 +38,13 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_one_line_passages_stay_once(spark):
+    passage = " ".join(f"p{k}" for k in range(53))
+    made = [(i, "\n".join(" ".join(f"u{i}.{j}.{k}" for k in range(20)) if j != 3 else passage for j in range(6)), "en", "z", 1) for i in range(1, 6)]
+    docs = spark.createDataFrame(made, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    steps = dict(corpus_pipeline.STAGES)
+    out = rows(steps["ngram_join"](spark, steps["line_dedup"](spark, docs, SF), SF))
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["doc_id"]) if passage in r["text"]] == [1] and len(out) == 5
+    assert all(r["n_chars"] == len(r["text"]) and r["text"].count("\n") == (5 if r["doc_id"] == 1 else 4) for r in out)
