@@ -32,10 +32,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, keep the one with the smallest id, and of the passages that
+    """Of documents that near-duplicate links (Jaccard of five-word shingles of at least 0.8) connect, keep the one with the smallest id, and of the passages that
     documents kept still share, the first: now the document that keeps a passage stays itself.
     """
-    first = ngram_join.ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    first = ngram_join.ngram_join(docs, words=5, threshold=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = line_dedup.drop_passages(docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

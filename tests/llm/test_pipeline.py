@@ -48,3 +48,21 @@ def test_one_line_passages_stay_once(spark):
     out = rows(steps["ngram_join"](spark, steps["line_dedup"](spark, docs, SF), SF))
     assert [r["doc_id"] for r in sorted(out, key=lambda r: r["doc_id"]) if passage in r["text"]] == [1] and len(out) == 5
     assert all(r["n_chars"] == len(r["text"]) and r["text"].count("\n") == (5 if r["doc_id"] == 1 else 4) for r in out)
+
+
+def test_near_copies_are_those_of_five_words(spark):
+    words = [f"n{k}" for k in range(124)]
+    made = [words, words[:60] + ["changed"] + words[61:]]
+    for n, at in ((84, (10, 60)), (60, (20,)), (50, (20,)), (44, (20,))):
+        base = [f"m{n}.{k}" for k in range(n)]
+        made += [base, [f"z{n}.{k}" if k in at else w for k, w in enumerate(base)]]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "z", 1) for i, w in enumerate(made)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+
+    def close(a, b):
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return 5 * len(x & y) >= 4 * len(x | y)
+
+    want = {i for i in range(len(made)) if not any(close(made[i], made[j]) for j in range(i))}
+    assert {r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF))} == want
+    # Four words and 0.85 would give other links.
+    assert want != {i for i, (_, c) in brute_components((i, " ".join(w)) for i, w in enumerate(made)).items() if i == c}
