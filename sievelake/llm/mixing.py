@@ -6,12 +6,12 @@ its own; what is above is shared again by weight (water-filling, in one window o
 Copies: of a target of r times its source's words each document gets floor(r) certain whole copies.  The rest, the
 fraction f, is sampled: a document's inclusion probability is f times its weight over the source's mean weight
 (f itself without ``weight_col``; at most 1), and documents are taken in ascending order of
-``odds(random) / odds(inclusion)`` until the source's words are reached.  That rank is a fixed number for each document
+``odds(random) / odds(inclusion)``, passing over each that has more words than are still missing, until none fits.  That rank is a fixed number for each document
 (a hash of seed, id and text), so reruns agree, and a sample has a fixed size instead of a random one.
 
 Where the order is cut is found without sorting a source: the rank axis is cut into about sqrt(n) bins, the
-words of each bin are summed, and only the bin that holds the cut is sorted.  The words still missing there are filled,
-``FILLS`` times, with the largest document of the source that still fits.
+words of each bin are summed, and only the bin that holds the cut is sorted.  The same is done behind each cut, with
+the documents that still fit, until no source has one: as if the order were walked one document at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import NOT_BLANKS, stored, unit_random
 
-WEIGHTS, SHARE, MOST_COPIES, FILLS = (5.0, 2.0, 1.0), 1.5, 2.0, 3
+WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES) -> DataFrame:
@@ -92,31 +92,42 @@ def mix(
     # rank / (1 + rank) lies in (0, 1) in the same order; it spreads the bins.
     ranked = beside(plan, docs).withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * F.ceil(F.sqrt("n"))))
 
-    bins = ranked.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumn("before", before).filter("before <= wanted")
-    edge = bins.groupBy("source").agg(F.max("bin").alias("edge"), F.max("before").alias("before"))
-    inside = beside(edge, ranked).filter("bin = edge")
-    order = Window.partitionBy("source").orderBy("rank", "row")
-    inside = inside.withColumn("used", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = inside.filter("used <= wanted").groupBy("source").agg(F.max(F.struct("rank", "row")).alias("cut"), F.max("used").alias("used"))
-    state = edge.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    state = state.select("source", "edge", "cut", F.coalesce("used", "before").alias("used"), F.array().cast("array<bigint>").alias("filled"))
-    state = stored(state, "mix_cut")
-
-    chosen = (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.coalesce(F.struct("rank", "row") <= F.col("cut"), F.lit(False)))
-    for _ in range(FILLS):
-        free = beside(state, ranked).filter(~chosen & ~F.array_contains("filled", F.col("row")) & (F.col("size") > 0) & (F.col("size") <= F.col("wanted") - F.col("used")))
-        best = free.groupBy("source").agg(F.max(F.struct("size", (-F.col("rank")).alias("early"), "row")).alias("best"))
-        state = state.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
+    key = F.struct("rank", "row")
+    # What is taken of a source: documents in (start, cut] of the order that have no more than ``most`` words, for each round.
+    place = "struct<rank:double,row:bigint>"
+    none = F.array().cast(f"array<struct<start:{place},cut:{place},most:double>>")
+    state = plan.select("source", "wanted", F.lit(0).cast("bigint").alias("used"), F.lit(None).cast(place).alias("last"), none.alias("rounds"))
+    while True:
+        ahead = beside(state.drop("wanted", "rounds"), ranked).withColumn("gap", F.col("wanted") - F.col("used"))
+        ahead = ahead.filter((F.col("size") <= F.col("gap")) & (F.col("last").isNull() | (key > F.col("last"))) & ((F.col("size") > 0) | F.col("last").isNull()) & (F.col("f") > 0))
+        bins = ahead.groupBy("source", "bin", "gap").agg(F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # The edge is the bin in which the words run out, or the last bin of all.
+        edge = bins.withColumn("before", before).filter("before <= gap").groupBy("source").agg(F.max("bin").alias("edge"), F.max("before").alias("before"))
+        inside = beside(edge, ahead).filter("bin = edge")
+        order = Window.partitionBy("source").orderBy("rank", "row")
+        inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        fits = F.col("sum") <= F.col("gap")
+        # The first that doesn't fit ends the round: the next one is behind it.  Without one the source is done.
+        ends = inside.groupBy("source").agg(F.min(F.when(~fits, key)).alias("stop"), F.coalesce(F.max(F.when(fits, F.col("sum"))), F.first("before")).alias("sum"))
+        ends = stored(ends, "mix_cut")
+        if ends.isEmpty():
+            break
+        last = F.coalesce("stop", F.struct(F.lit(float("inf")).alias("rank"), F.lit(0).cast("bigint").alias("row")))
+        round_ = F.struct(F.col("last").alias("start"), last.alias("cut"), (F.col("wanted") - F.col("used")).cast("double").alias("most"))
+        state = state.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
             "source",
-            "edge",
-            "cut",
-            (F.col("used") + F.coalesce("best.size", F.lit(0))).alias("used"),
-            F.when(F.col("best").isNull(), F.col("filled")).otherwise(F.concat("filled", F.array("best.row"))).alias("filled"),
+            "wanted",
+            (F.col("used") + F.coalesce("sum", F.lit(0))).alias("used"),
+            F.when(F.col("sum").isNull(), F.col("last")).otherwise(last).alias("last"),
+            F.when(F.col("sum").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(round_))).alias("rounds"),
         )
-        state = stored(state, "mix_fill")
-    copies = F.col("certain") + (chosen | F.array_contains("filled", F.col("row"))).cast("bigint")
+        state = stored(state, "mix_state")
+    # The document at the cut is the one that didn't fit.
+    within = lambda r: (r["start"].isNull() | (key > r["start"])) & (key < r["cut"]) & (F.col("size") <= r["most"])
+    chosen = F.exists("rounds", within)
+    state = state.select("source", "rounds")
+    copies = F.col("certain") + chosen.cast("bigint")
     copies = F.when(F.col("f") > 0, copies).otherwise(F.col("certain"))
     return beside(state, ranked).select(
         F.col("id").alias(id_col),

@@ -166,6 +166,24 @@ def test_mixing_weights_change_odds(spark):
     assert heavy > 2 * sum(r["taken"] for r in got if r["doc_id"] % 2 == 0 and r["doc_id"] < 1000)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_goes_on_behind_documents_that_do_not_fit(spark, seed):
+    """Sources that one document dominates, held against a walk down the order."""
+    sizes = {"a": [20_000] + [100] * 300, "b": [200] * 100 + [20_000], "c": [5_000, 3_000, 900] + list(range(1, 60)), None: [7, 400, 30]}
+    made = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s, many in sizes.items() for n in many)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, source string").repartition(4)
+    got = {r["doc_id"]: r for r in rows(mixing.mix(df, weights=(1.0,), share=0.56, seed=seed))}
+    u = {r["doc_id"]: r["u"] for r in rows(df.select("doc_id", mixing.unit_random(seed, F.col("doc_id"), F.col("text")).alias("u")))}
+    for s in sizes:
+        mine = sorted((r["doc_id"] for r in got.values() if made[r["doc_id"]][2] == s), key=u.get)
+        certain = min(got[i]["copies"] for i in mine)
+        left = got[mine[0]]["target"] - certain * got[mine[0]]["source_size"]
+        for i in mine:
+            fits = got[i]["size"] <= left
+            assert got[i]["copies"] == certain + fits
+            left -= got[i]["size"] * fits
+
+
 def brute_sets(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
