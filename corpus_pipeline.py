@@ -35,8 +35,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that near-duplicate links (Jaccard of five-word shingles of at least 0.8) connect, keep the one with the smallest id, and of the passages that
     documents kept still share, the first: now the document that keeps a passage stays itself.
     """
-    first = ngram_join.ngram_join(docs, words=5, threshold=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = line_dedup.drop_passages(docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"))
+    named = docs.withColumn("__id", F.col("doc_id"))
+    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        # Rows without an id get one behind all others, each its own; a row repeated counts once.
+        others = F.monotonically_increasing_id() + F.lit(1 << 62)
+        named = stored(named.withColumn("__id", F.coalesce("__id", others)).dropDuplicates(["__id"]), "named")
+    first = ngram_join.ngram_join(named, id_col="__id", words=5, threshold=80).filter(F.col("__id") == F.col("component_id")).select("__id")
+    kept = line_dedup.drop_passages(named.join(first, "__id", "left_semi"), id_col="__id")
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -66,3 +66,12 @@ def test_near_copies_are_those_of_five_words(spark):
     assert {r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF))} == want
     # Four words and 0.85 would give other links.
     assert want != {i for i, (_, c) in brute_components((i, " ".join(w)) for i, w in enumerate(made)).items() if i == c}
+
+
+def test_one_row_of_each_component_stays(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    made = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "z", 1) for i, t in made], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = rows(dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF))
+    want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(want, key=str)
