@@ -79,7 +79,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(documents(spark, sf_dir))
+    return ngram_join.ngram_join(documents(spark, sf_dir), words=4, threshold=85)
 
 
 @query

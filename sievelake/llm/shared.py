@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ BLANKS = r"[\x20\x09-\x0D]"
 NOT_BLANKS = r"[^\x20\x09-\x0D]+"
 #: Rows are handed to Python code in slices of about so many bytes of text, however long the texts are.
 SLICE_BYTES = 8 << 20
+#: A key with more rows than this, and than one in MOST_HOT of all rows, is hot: its rows are salted before a join.
+HOT_ROWS, MOST_HOT = 1000, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +64,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each has about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each has about ``most`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,15 +73,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, text: str) -> DataFrame:
-    """``mapInArrow`` over slices; ``work`` turns a slice into columns named as in ``schema``.
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: the next task's worker is the same process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, text: str, most: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of ``most`` bytes; ``work`` turns a slice into columns named as in ``schema``.
 
     ``work`` may be a class with a ``__call__``: a ``start()`` method, if any, runs once a task.
     """
@@ -90,9 +102,10 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if hasattr(work, "start"):
             work.start()
-        for part in slices(batches, text):
+        for part in slices(batches, text, most):
             columns = work(part)
             yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow], schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -135,3 +148,29 @@ def id_bounds(df: DataFrame, key: str, parts: int) -> list:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str, salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and, in ``count``, how many rows have it.
+
+    Rows of hot keys (at most MOST_HOT, by their definition) are dealt over several tasks by ``salt``, a column of theirs, and
+    the table's row for such a key is copied as often.  ``table`` is read several times: a stored one, or a cheap one.
+    """
+    seen = table.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = max(HOT_ROWS, (seen["total"] or 0) // MOST_HOT)
+    if (seen["most"] or 0) <= limit:
+        return rows.join(table.drop(count), key, how)
+    salts = F.ceil(F.col(count) / limit).cast("int")
+    hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__key"), salts.alias("__salts"))
+    own = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
+    own = own.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("__salts")).cast("int"), F.lit(0))).drop("__key", "__salts")
+    many = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > limit, salts - 1).otherwise(0)))).drop(count)
+    return own.join(many, [key, "__salt"], how).drop("__salt")
