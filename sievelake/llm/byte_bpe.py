@@ -6,7 +6,7 @@ pair that is merged, its right part that dies, and the live neighbour on the lef
 path to the root: a logarithmic number of steps a merge, so n bytes cost O(n log n) whatever they are.
 
 Short pre-tokens are merged many at a time (numpy arrays, one tree a row); long ones one at a time with the
-same tree in flat arrays.  Equal pre-tokens get equal ids, so results are kept in a table of bounded size.
+same tree in flat arrays.  Equal pre-tokens get equal ids, so those of short ones are kept in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import base64
 import hashlib
 import re
 from array import array
-from functools import cache
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from .shared import arrow_map, texts, values
 NEVER = np.int64(1) << 62
 #: Pre-tokens up to so many bytes are merged together in numpy rows.
 WIDE = 64
-#: So many numpy rows at a time, and so many known pre-tokens in a worker before the table starts anew.
-ROWS, KNOWN = 8192, 300_000
+#: So many numpy rows at a time, and so many known pre-tokens, of at most WIDE bytes, in a worker.
+ROWS, KNOWN = 2048, 150_000
+#: Bytes of text, and pre-tokens of one text, that a worker takes at a time: split, a text takes ten times its size.
+SLICE, PIECE = 1 << 20, 200_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -112,8 +115,8 @@ class SegmentTreeBPE:
         """The same for one word of any length."""
         n, never, ranks, tokens = len(word), int(NEVER), self.ranks, self.tokens
         width = 1 << max(1, (n - 1).bit_length())
-        token = array("q", self.single[np.frombuffer(word, dtype=np.uint8)].tobytes())
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        token = array("i", self.single[np.frombuffer(word, dtype=np.uint8)].astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         tree = array("q", [never]) * (2 * width)
 
         def key(i: int) -> int:
@@ -146,7 +149,7 @@ class SegmentTreeBPE:
                         break
                     tree[i] = best
                     i >>= 1
-        ids = np.frombuffer(token, dtype=np.int64)
+        ids = np.frombuffer(token, dtype=np.int32)
         return ids[ids >= 0]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -175,10 +178,43 @@ class SegmentTreeBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@cache
-def worker_table(ranks: bytes) -> tuple[SegmentTreeBPE, dict[str, bytes]]:
-    """One encoder and one table of known pre-tokens for each worker process, which its later tasks find filled."""
-    return SegmentTreeBPE(load_ranks(ranks)), {}
+class Known:
+    """Ids of pre-tokens met lately: at most KNOWN of them, in two halves of which the older one goes when the newer is full."""
+
+    def __init__(self, bpe: SegmentTreeBPE):
+        self.bpe, self.new, self.old = bpe, {}, {}
+
+    def of(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of the pre-tokens of each list, one after the other."""
+        words = set().union(*lists)
+        unknown = words.difference(self.new)
+        if len(self.new) + len(unknown) > KNOWN // 2:
+            self.old, self.new, unknown = self.new, {}, words
+        fresh = []
+        for w in unknown:
+            ids = self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.new[w] = ids
+        self.new.update(zip(fresh, self.bpe.encode_words([w.encode() for w in fresh])))
+        out = [b"".join(map(self.new.__getitem__, x)) for x in lists]
+        for w in fresh:
+            if len(w) > WIDE:
+                del self.new[w]
+        return out
+
+
+#: The encoder of this worker process, by its ranks, for its later tasks: one at a time.
+HELD: dict[bytes, Known] = {}
+
+
+def worker_table(ranks: bytes) -> Known:
+    key = hashlib.sha256(ranks).digest()
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Known(SegmentTreeBPE(load_ranks(ranks)))
+    return HELD[key]
 
 
 def narrow_split(pattern: str, below: int = 0x250):
@@ -203,7 +239,7 @@ def narrow_split(pattern: str, below: int = 0x250):
         else:
             inside = part == "[" or inside and part != "]"
             out.append(part)
-    return re.compile("".join(out)).findall
+    return re.compile("".join(out))
 
 
 class _Encode:
@@ -215,28 +251,33 @@ class _Encode:
     def start(self) -> None:
         import regex
 
-        self.bpe, self.known = worker_table(self.ranks.value)
-        wide, narrow = regex.compile(self.pattern).findall, narrow_split(self.pattern)
-        other = re.compile("[^\x00-\u024f]").search
-        self.split = wide if narrow is None else lambda t: wide(t) if other(t) else narrow(t)
+        self.known = worker_table(self.ranks.value)
+        self.wide, self.narrow = regex.compile(self.pattern), narrow_split(self.pattern)
+        self.other = re.compile("[^\x00-\u024f]").search
+
+    def split(self, text: str) -> list[str]:
+        return (self.wide if self.narrow is None or self.other(text) else self.narrow).findall(text)
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a very long text, some pre-tokens at a time."""
+        found = (m[0] for m in (self.wide if self.narrow is None or self.other(text) else self.narrow).finditer(text))
+        while part := list(islice(found, PIECE)):
+            yield self.known.of([part])[0]
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
-        known, out = self.known, {"n_tokens": [], **{k: [] for k in self.keep}}
-        split = [self.split(t) for t in texts(batch, self.text_col)]
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list(set().union(*split))
-        known.update(zip(new, self.bpe.encode_words([w.encode() for w in new])))
-        for words in split:
-            ids = b"".join(map(known.__getitem__, words))
+        out, own = {"n_tokens": [], **{k: [] for k in self.keep}}, texts(batch, self.text_col)
+        if len(own) == 1 and len(own[0]) > SLICE:
+            found = [b"".join(self.pieces(own[0]))]
+        else:
+            found = self.known.of([self.split(t) for t in own])
+        for ids in found:
             out["n_tokens"].append(len(ids) // 4)
             if "ids" in out:
                 out["ids"].append(ids)
             if "ids_sha256" in out:
                 out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             if "decoded" in out or "decoded_sha256" in out:
-                back = self.bpe.decode(ids)
+                back = self.known.bpe.decode(ids)
                 if "decoded" in out:
                     out["decoded"].append(back)
                 if "decoded_sha256" in out:
@@ -260,4 +301,4 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"`{id_col}` {kind}", "n_tokens bigint", *(f"{k} {kinds[k]}" for k in keep)])
-    return arrow_map(df.select(id_col, text_col), _Encode(ranks, pattern, id_col, text_col, tuple(keep)), schema, text_col)
+    return arrow_map(df.select(id_col, text_col), _Encode(ranks, pattern, id_col, text_col, tuple(keep)), schema, text_col, SLICE)
