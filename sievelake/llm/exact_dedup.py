@@ -5,7 +5,8 @@
    text meet in up to SALTS places instead of one.
 3. Global: the winners of the salts are combined by (digest, text).
 
-The whole text is part of the key of each step: texts that merely share a digest are never one group.
+The whole text is part of the key of each step: texts that merely share a digest are never one group.  The groups then go
+back to their rows by digest; rows of very large groups are salted for that, too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, stored, whole
+from .shared import BLANKS, spread_join, stored, whole
 
 SALTS = 16
 LARGEST = 2**63 - 1
@@ -55,7 +56,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     by_digest = winner(groups.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.count("*").alias("texts")))
     table = stored(by_digest.select("digest", "keep_id", "group_size", "texts"), "exact_dedup")
-    out = rows.select("id", "digest").join(table.filter("texts = 1"), "digest")
+    plain = table.filter("texts = 1").select("digest", "keep_id", "group_size", F.col("group_size").alias("rows"))
+    out = spread_join(rows.select("id", "digest"), plain, "digest", "rows", F.col("id"))
     if not table.filter("texts > 1").isEmpty():  # different texts of one digest: told apart by the texts themselves
         clash = table.filter("texts > 1").select("digest")
         apart = winner(groups.join(clash, "digest", "left_semi")).withColumnRenamed("n", "group_size")
