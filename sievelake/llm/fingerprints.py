@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, id_bounds, shuffle_parts, slices, stored, texts, values
+from .shared import arrow_map, id_bounds, shuffle_parts, slices, spread_join, stored, texts, trim, values
 
 
 def canonical(text: str) -> bytes:
@@ -35,33 +35,32 @@ def digest(form: bytes) -> str:
 
 
 class _Fingerprint:
-    def __init__(self, id_col: str, text_col: str):
-        self.id_col, self.text_col = id_col, text_col
+    def __init__(self, text_col: str, hashed: Callable[[bytes], str]):
+        self.text_col, self.hashed = text_col, hashed
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
         forms = [canonical(t) for t in texts(batch, self.text_col)]
-        small = zstandard.ZstdCompressor(level=1)
-        return {self.id_col: values(batch, self.id_col), "fingerprint": [digest(f) for f in forms], "form": [small.compress(f) for f in forms]}
+        return {"id": values(batch, "id"), "fingerprint": [self.hashed(f) for f in forms], "form": forms}
 
 
-def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``fingerprint`` and ``form`` (the canonical bytes, zstd-compressed, equal if and only if
-    the forms are: one compressor with fixed settings made them) of each row; null counts as the empty text."""
+def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[bytes], str] = digest) -> DataFrame:
+    """``id``, ``fingerprint`` and ``form`` (the canonical bytes) of each row; null counts as the empty text."""
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(id_col, text_col), _Fingerprint(id_col, text_col), f"`{id_col}` {kind}, fingerprint string, form binary", text_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return arrow_map(rows, _Fingerprint("text", hashed), f"id {kind}, fingerprint string, form binary", "text")
 
 
-def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``fingerprint``, ``variant``, ``first_id`` (smallest id), ``group_size``: one row for each canonical form.
+def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[bytes], str] = digest) -> DataFrame:
+    """``fingerprint``, ``variant``, ``first_id`` (smallest id), ``group_size``, ``form_sha256``: one row for each canonical form.
 
     Forms are combined inside each task first, with their bytes in the key, then globally, so a task sends a form
     once and a large group of copies is never in one place.  ``variant`` is 0, and above only for a further
     form in an equal bucket (numbered by first id): the pair of fingerprint and variant stands for one form.
     """
-    forms = fingerprint(df, id_col, text_col).groupBy("fingerprint", "form").agg(F.min(id_col).alias("first_id"), F.count("*").alias("group_size"))
-    table = stored(forms.select("fingerprint", F.unhex(F.sha2("form", 256)).alias("tie"), "first_id", "group_size"), "fingerprint_groups")
-    order = Window.partitionBy("fingerprint").orderBy("first_id", "tie")
-    return table.withColumn("variant", F.row_number().over(order) - 1).drop("tie")
+    forms = fingerprint(df, id_col, text_col, hashed).groupBy("fingerprint", "form").agg(F.min("id").alias("first_id"), F.count("*").alias("group_size"))
+    order = Window.partitionBy("fingerprint").orderBy("first_id", "form_sha256")
+    table = forms.select("fingerprint", F.sha2("form", 256).alias("form_sha256"), "first_id", "group_size")
+    return stored(table.withColumn("variant", F.row_number().over(order) - 1), "fingerprint_groups")
 
 
 def edited(text: str, other: str) -> str:
@@ -70,10 +69,11 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[bytes], str] = digest) -> DataFrame:
     """Each document against the next in ascending ``id_col`` order (after the last, the first) and against its
     own edited text: ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
-    ``near_edited``, ``near_next`` (1.0 if the canonical bytes are equal, else 0.0).
+    ``near_edited``, ``near_next`` (1.0 if the canonical bytes are equal, else 0.0), ``form_sha256`` (of its canonical bytes).
+    Ids are numbers.
 
     The rows are dealt by ranges of the id, and the first document of each range also goes, marked, behind
     the range before it, so that each task holds every next document.  The texts are shuffled once, compressed.
@@ -94,7 +94,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = rows.select("bucket", "id").groupBy("bucket").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("has_null"))
     found = sorted(heads.collect(), key=lambda r: r["bucket"])
     if not found:
-        return rows.select("id").limit(0).selectExpr(f"id AS `{id_col}`", "0L AS n_chars", "'' AS edited_sha256", "'' AS fingerprint", "'' AS edited_fingerprint", "0D AS near_edited", "0D AS near_next")
+        return rows.select("id").limit(0).selectExpr(f"id AS `{id_col}`", "0L AS n_chars", "'' AS edited_sha256", "'' AS fingerprint", "'' AS edited_fingerprint", "0D AS near_edited", "0D AS near_next", "'' AS form_sha256")
     own = [r["bucket"] for r in found]
     before = dict(zip(own, [own[-1], *own[:-1]]))
     heads_of = {r["bucket"]: None if r["has_null"] else r["first"] for r in found}
@@ -112,7 +112,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "form_sha256"]
         held = None  # (bucket, id, text, form) of the row before
         last_bucket_done = None
 
@@ -120,7 +120,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, name, text, form = row
             new = edited(text, other_text)
             new_form = canonical(new)
-            return name, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(form), digest(new_form), float(form == new_form), float(form == other_form)
+            return name, len(text), hashlib.sha256(new.encode()).hexdigest(), hashed(form), hashed(new_form), float(form == new_form), float(form == other_form), hashlib.sha256(form).hexdigest()
 
         for batch in slices(batches, "text"):
             out = []
@@ -135,28 +135,21 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if extra:
                     last_bucket_done, held = bucket, None
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()))], names=names)
 
     # Inside a bucket the marked rows come last; equal ids stand in the order of a digest of their texts, which
     # is the same for the rows and for their marked copies.
     dealt = packed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("id").asc_nulls_first(), F.sha2("text", 256))
-    return dealt.mapInArrow(work, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(work, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form_sha256 string")
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[bytes], str] = digest) -> DataFrame:
     """``compare_with_next`` with ``first_id`` and ``group_size`` of each document's group of equal canonical forms.
 
     If an equal bucket holds different forms, the fingerprints of all but the first of them get ``-variant`` behind.
+    Rows that share an id, and rows without one, come out as often as they are.  Rows of large groups are salted to meet theirs.
     """
-    groups = group(df, id_col, text_col)
-    out = compare_with_next(df, id_col, text_col)
-    clash = groups.filter("variant > 0")
-    if clash.isEmpty():
-        return out.join(groups.drop("variant"), "fingerprint")
-    forms = fingerprint(df, id_col, text_col).join(clash.select("fingerprint").distinct(), "fingerprint", "left_semi")
-    variants = forms.groupBy("fingerprint", "form").agg(F.min(id_col).alias("first_id")).join(groups, ["fingerprint", "first_id"])
-    own = forms.join(variants, ["fingerprint", "form"]).select(id_col, "fingerprint", "first_id", "group_size", "variant").distinct()
-    plain = out.join(groups.join(clash.select("fingerprint").distinct(), "fingerprint", "left_anti"), "fingerprint")
-    apart = out.join(own, [id_col, "fingerprint"])
+    groups = group(df, id_col, text_col, hashed).withColumn("rows", F.col("group_size"))
+    out = spread_join(compare_with_next(df, id_col, text_col, hashed), groups.drop("fingerprint"), "form_sha256", "rows", F.col(id_col))
     named = F.when(F.col("variant") > 0, F.concat_ws("-", "fingerprint", F.col("variant").cast("string"))).otherwise(F.col("fingerprint"))
-    return plain.unionByName(apart).withColumn("fingerprint", named).drop("variant")
+    return out.withColumn("fingerprint", named).drop("variant", "form_sha256")
