@@ -26,7 +26,7 @@ UNKNOWN = "und"
 #: More languages than this in the training rows are refused: the prototypes are sent to every worker.
 MOST_LANGUAGES = 2000
 #: Trigrams and documents that are multiplied at a time.
-TRIGRAMS, DOCUMENTS = 4096, 512
+TRIGRAMS, DOCUMENTS = 2048, 512
 
 
 @cache
@@ -118,8 +118,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
 
 
 class _Predict:
-    def __init__(self, keep: tuple[str, ...], text_col: str, names: list[str], prototypes: np.ndarray):
-        self.keep, self.text_col, self.names, self.prototypes = keep, text_col, names, prototypes
+    def __init__(self, keep: tuple[str, ...], text_col: str, named: tuple[str, str], names: list[str], prototypes: np.ndarray):
+        self.keep, self.text_col, self.named, self.names, self.prototypes = keep, text_col, named, names, prototypes
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
         found = [trigrams(t) for t in texts(batch, self.text_col)]
@@ -133,11 +133,12 @@ class _Predict:
                 known = codes.size and self.names
                 langs.append(self.names[int(row.argmax())] if known else UNKNOWN)
                 scores.append(min(1.0, max(0.0, float(row.max()))) if known else 0.0)
-        return {**{c: batch.column(batch.schema.get_field_index(c)) for c in self.keep}, "lang_pred": langs, "score": scores}
+        return {**{c: batch.column(batch.schema.get_field_index(c)) for c in self.keep}, self.named[0]: langs, self.named[1]: scores}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` (the cosine, 0 at least) of every row; the text is the only input.
+    ``named`` gives these two other names; a kept column that has one of them gives way.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if there are no
     prototypes (an empty training table).  Equal cosines go to the first language by code point.
@@ -146,8 +147,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, .
     lengths = {k: float(np.linalg.norm(v)) for k, v in prototypes.items()}
     names = [k for k in prototypes if lengths[k] > 0]
     matrix = np.stack([prototypes[k] / lengths[k] for k in names]) if names else np.zeros((1, DIMENSIONS))
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), _Predict(tuple(keep), text_col, names, matrix), schema, text_col)
+    keep = tuple(c for c in keep if c not in named)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{named[0]}` string, `{named[1]}` double"])
+    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), _Predict(keep, text_col, named, names, matrix), schema, text_col)
 
 
 def fold(id_col: str, n: int) -> Column:
