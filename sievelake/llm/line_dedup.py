@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_BLANKS, let, stored, whole
+from .shared import NOT_BLANKS, let, spread_join, stored, unused, whole
 
 #: Ends fall where ``(hash + FACTOR * hash of the line before) % EVERY`` is 0: a chunk has EVERY lines on average.
 FACTOR, EVERY, MIN_LINES = 31, 3, 2
@@ -40,46 +40,56 @@ def chunks(text: Column, every: int = EVERY) -> Column:
     return let(let(hashes, ends), cut)
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, min_lines: int = MIN_LINES) -> DataFrame:
-    """The rows of ``df`` with repeated chunks taken out of ``text_col``, and three columns more: ``n_lines``
-    (before), ``lines_removed`` and ``chunks_removed``.
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits for a row's id and text: rows that share it are one row repeated. Without an id, for the text alone."""
+    return F.unhex(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(""), F.col(text_col))))
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, min_lines: int = MIN_LINES, report: bool = True) -> DataFrame:
+    """The rows of ``df`` with repeated chunks taken out of ``text_col``, and three columns more if ``report``:
+    ``n_lines`` (before), ``lines_removed`` and ``chunks_removed``, in place of any columns that have these names.
 
     The first occurrence is the one in the row with the smallest id (an integer; null last), then the
     earliest in its text.  Chunks of white space alone are left.  A null text stays null, with 0 lines; a text of
     which all is removed becomes empty; its row stays.  Rows that share id and text are one row repeated and are
-    treated alike, so a chunk isn't removed because its own row is repeated.  Columns of ``df`` keep their names; those
-    made here begin with two underscores until the end.
+    treated alike, so a chunk isn't removed because its own row is repeated.  All other columns of ``df`` stay as they are;
+    those made on the way get names that it doesn't have.
     """
+    key, gone_col, n_col = (unused(df, c) for c in ("__key", "__gone", "__n"))
     lines = F.split(F.col(text_col), "\n", -1)
-    held = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    held = df.withColumn(key, row_key(id_col, text_col))
+
     def bodies(own: Column) -> Column:
         return F.transform(chunks(F.col(text_col), every), lambda c: F.struct(c["pos"].alias("pos"), (c["end"] - c["start"]).alias("n"), F.array_join(F.slice(own, c["start"] + 1, c["end"] - c["start"]), "\n").alias("body")))
 
     # Joined inside the array: exploding line numbers would copy all lines of a document beside each chunk.
-    cut = held.select("__key", F.col(id_col).alias("__id"), F.explode(let(lines, bodies)).alias("__c")).select("__key", "__id", "__c.*")
+    cut = held.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), F.explode(let(lines, bodies)).alias("__c")).select("__key", "__id", "__c.*")
     # The smaller number is the earlier occurrence; a number, so that the aggregate hashes instead of sorting texts.
     order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), whole(2**63)) * whole(2**31) + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
     cut = cut.filter((F.col("n") >= min_lines) & F.col("body").rlike(NOT_BLANKS)).select("__key", "pos", "n", "body", F.unhex(F.md5("body")).alias("digest"), order.alias("order"))
     # Occurrences of one row repeated have one order and key: they count once, by the largest and the smallest order.
-    groups = cut.groupBy("digest", "body").agg(F.min("order").alias("first"), F.max("order").alias("last"))
-    table = stored(groups.groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("texts")).filter("first < last"), "line_dedup")
+    groups = cut.groupBy("digest", "body").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.count("*").alias("rows"))
+    groups = groups.groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("texts"), F.sum("rows").alias("rows"))
+    table = stored(groups.filter("first < last"), "line_dedup")
     places = cut.select("__key", "pos", "n", "digest", "order")
-    gone = places.join(table.filter("texts = 1").select("digest", "first"), "digest").filter("order > first").select("__key", "pos", "n")
+    gone = spread_join(places, table.filter("texts = 1").select("digest", "first", "rows"), "digest", "rows", F.col("__key")).filter("order > first").select("__key", "pos", "n")
     if not table.filter("texts > 1").isEmpty():  # different chunks of one digest: told apart by their texts
         clash = table.filter("texts > 1").select("digest")
-        apart = groups.join(clash, "digest", "left_semi").select("digest", "body", "first")
-        gone = gone.unionByName(cut.join(clash, "digest", "left_semi").join(apart, ["digest", "body"]).filter("order > first").select("__key", "pos", "n"))
-    gone = gone.distinct().groupBy("__key").agg(F.collect_list("pos").alias("__gone"), F.sum("n").alias("__n"))
-    left = F.filter(chunks(F.col(text_col), every), lambda c: ~F.array_contains("__gone", c["pos"]))
+        of = cut.join(clash, "digest", "left_semi")
+        apart = of.groupBy("digest", "body").agg(F.min("order").alias("first"))
+        gone = gone.unionByName(of.join(apart, ["digest", "body"]).filter("order > first").select("__key", "pos", "n"))
+    gone = gone.distinct().groupBy("__key").agg(F.collect_list("pos").alias(gone_col), F.sum("n").alias(n_col)).withColumnRenamed("__key", key)
+    left = F.filter(chunks(F.col(text_col), every), lambda c: ~F.array_contains(gone_col, c["pos"]))
     text = let(lines, lambda own: F.array_join(F.flatten(F.transform(left, lambda c: F.slice(own, c["start"] + 1, c["end"] - c["start"]))), "\n"))
-    return (
-        held.join(gone, "__key", "left")
-        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-        .withColumn("lines_removed", F.coalesce(F.col("__n"), F.lit(0)).cast("bigint"))
-        .withColumn("chunks_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint"))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text))
-        .drop("__key", "__gone", "__n")
-    )
+    out = held.join(gone, key, "left")
+    if report:
+        counts = {
+            "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+            "lines_removed": F.coalesce(F.col(n_col), F.lit(0)).cast("bigint"),
+            "chunks_removed": F.when(F.col(gone_col).isNull(), 0).otherwise(F.size(gone_col)).cast("bigint"),
+        }
+        out = out.withColumns(counts)
+    return out.withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(text)).drop(key, gone_col, n_col)
 
 
 def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
@@ -115,17 +125,19 @@ def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines that aren't blank make a passage even if blank lines are between them; blank lines stay.  Each line that is
     taken out stands where it occurs first.  Null texts stay null, and a text may become empty.
     """
-    held = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    cut = held.select("__key", F.col(id_col).alias("__id"), F.explode(windows(F.col(text_col), least_words)).alias("__w")).select("__key", "__id", "__w.*")
+    key, gone_col = unused(df, "__key"), unused(df, "__gone")
+    held = df.withColumn(key, row_key(id_col, text_col))
+    cut = held.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), F.explode(windows(F.col(text_col), least_words)).alias("__w")).select("__key", "__id", "__w.*")
     order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), whole(2**63)) * whole(2**31) + F.col("start").cast("decimal(10,0)")).cast("decimal(38,0)")
     cut = cut.select("__key", "at", "digest", order.alias("order"))
-    table = stored(cut.groupBy("digest").agg(F.min("order").alias("first"), F.max("order").alias("last")).filter("first < last").select("digest", "first"), "passages")
+    groups = cut.groupBy("digest").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.count("*").alias("rows"))
+    table = stored(groups.filter("first < last").select("digest", "first", "rows"), "passages")
     # A run that overlaps its first occurrence in the same text would take a part of that.
-    gone = cut.join(table, "digest").filter(F.col("order") - F.col("first") >= F.size("at")).select("__key", F.explode("at").alias("at"))
-    gone = gone.groupBy("__key").agg(F.collect_set("at").alias("__gone"))
+    gone = spread_join(cut, table, "digest", "rows", F.col("__key")).filter(F.col("order") - F.col("first") >= F.size("at")).select("__key", F.explode("at").alias("at"))
+    gone = gone.groupBy("__key").agg(F.collect_set("at").alias(gone_col)).withColumnRenamed("__key", key)
     lines = F.split(F.col(text_col), "\n", -1)
-    left = let(lines, lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone")), lambda i: F.get(own, i)), "\n"))
-    return held.join(gone, "__key", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).drop("__key", "__gone")
+    left = let(lines, lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone_col)), lambda i: F.get(own, i)), "\n"))
+    return held.join(gone, key, "left").withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(left)).drop(key, gone_col)
 
 
 ORACLE_SQL = f"""
