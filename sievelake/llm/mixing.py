@@ -3,10 +3,11 @@
 Targets: every source gets its weight's part of the wanted number of words, but no more than ``most_copies`` times
 its own; what is above is shared again by weight (water-filling, in one window over the sources).
 
-Copies: of a target of r times its source's words each document gets floor(r) certain whole copies.  The rest, the
-fraction f, is sampled: a document's inclusion probability is f times its weight over the source's mean weight
-(f itself without ``weight_col``; at most 1), and documents are taken in ascending order of
-``odds(random) / odds(inclusion)``, passing over each that has more words than are still missing, until none fits.  That rank is a fixed number for each document
+Copies: of a target of r times its source's words each document gets floor(r) certain whole copies.  The rest is
+sampled: a document's inclusion probability is proportional to its weight, in such a measure that the words expected are
+the words wanted; where it reaches 1, one more whole copy is certain, and what that leaves is shared again among
+the others.  Documents are taken in ascending order of ``odds(random) / odds(inclusion)``, certain ones first, passing over each
+that has more words than are still missing, until none fits.  That rank is a fixed number for each document
 (a hash of seed, id and text), so reruns agree, and a sample has a fixed size instead of a random one.
 
 Where the order is cut is found without sorting a source: the rank axis is cut into about sqrt(n) bins, the
@@ -59,23 +60,25 @@ def mix(
     """One row out for each row in: ``id_col``, ``size`` (words), ``source_size``, ``target`` (its source's),
     ``taken`` (words the mix takes: copies times size) and ``copies``.
 
-    Null and empty texts have size 0 and no copies beyond the certain ones.  Null sources are one source.
-    Repeated rows count as rows of their own; which of them is taken is arbitrary, how many isn't.  A weight that
-    is null or not above 0 counts as 0: such a row is sampled last.  An empty table gives an empty result.
+    A document's weight is that in ``weight_col``, or the logarithm of its size.  Null and empty texts have size 0 and no
+    copies beyond the certain ones.  Null sources are one source.  Repeated rows count as rows of their own; which of them is
+    taken is arbitrary, how many isn't.  A weight that is null, not a number or not above 0 counts as 0: such a row is sampled
+    last.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_BLANKS)), F.lit(0)).cast("bigint")
+    weight = F.log1p(size.cast("double")) if weight_col is None else F.nanvl(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     docs = stored(
         df.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_BLANKS)), F.lit(0)).cast("bigint").alias("size"),
-            weight.alias("weight"),
+            size.alias("size"),
+            F.greatest(weight, F.lit(0.0)).alias("weight"),
             unit_random(seed, F.col(id_col), F.col(text_col)).alias("u"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "mix_docs",
     )
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean_weight"))
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = stored(sizes, "mix_sizes")
     plan = sizes.join(source_targets(sizes, weights, share, most_copies).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -87,8 +90,25 @@ def mix(
         """Rows with what ``other`` has for their source. Other is one row a source: Spark broadcasts it if its size allows."""
         return rows.join(other.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
-    inclusion = F.least(F.greatest(F.col("f") * F.when(F.col("mean_weight") > 0, F.col("weight") / F.col("mean_weight")).otherwise(1.0), F.lit(1e-9)), F.lit(1 - 1e-9))
-    rank = odds(F.col("u")) / odds(inclusion)
+    # The factor from weight to inclusion: with each round those that reach 1 count whole, until no further one does.
+    factors, held = plan.select("source", F.lit(0.0).alias("factor")), -1
+    while True:
+        now = beside(factors, docs)
+        whole = (F.col("weight") > 0) & (F.col("factor") * F.col("weight") >= 1)
+        now = now.groupBy("source").agg(F.sum(F.when(whole, F.col("size")).otherwise(0)).alias("whole"), F.sum(F.when(whole, 0.0).otherwise(F.col("size") * F.col("weight"))).alias("rest"), F.count_if(whole).alias("n_whole"))
+        now = beside(now, plan.select("source", "wanted")).withColumn("left", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
+        factors = stored(now.select("source", F.when(F.col("rest") > 0, F.col("left") / F.col("rest")).otherwise(F.when(F.col("left") > 0, F.lit(float("inf"))).otherwise(0.0)).alias("factor"), "whole", "n_whole"), "mix_factors")
+        reached = factors.agg(F.coalesce(F.sum("n_whole"), F.lit(0))).first()[0]
+        if reached == held:
+            break
+        held, factors = reached, factors.select("source", "factor")
+    plan = stored(beside(factors.drop("n_whole"), plan), "mix_plan")
+
+    share_of = F.when(F.col("weight") > 0, F.col("factor") * F.col("weight")).otherwise(0.0)
+    inclusion = F.least(F.greatest(share_of, F.lit(1e-9)), F.lit(1 - 1e-9))
+    rank = F.when(share_of >= 1, 0.0).otherwise(odds(F.col("u")) / odds(inclusion))
+    # Certain ones, which always fit together, aren't walked.
+    first = (F.col("rank") == 0) & (F.col("f") > 0)
     # rank / (1 + rank) lies in (0, 1) in the same order; it spreads the bins.
     ranked = beside(plan, docs).withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * F.ceil(F.sqrt("n"))))
 
@@ -96,10 +116,10 @@ def mix(
     # What is taken of a source: documents in (start, cut] of the order that have no more than ``most`` words, for each round.
     place = "struct<rank:double,row:bigint>"
     none = F.array().cast(f"array<struct<start:{place},cut:{place},most:double>>")
-    state = plan.select("source", "wanted", F.lit(0).cast("bigint").alias("used"), F.lit(None).cast(place).alias("last"), none.alias("rounds"))
+    state = plan.select("source", "wanted", F.col("whole").cast("bigint").alias("used"), F.lit(None).cast(place).alias("last"), none.alias("rounds"))
     while True:
         ahead = beside(state.drop("wanted", "rounds"), ranked).withColumn("gap", F.col("wanted") - F.col("used"))
-        ahead = ahead.filter((F.col("size") <= F.col("gap")) & (F.col("last").isNull() | (key > F.col("last"))) & ((F.col("size") > 0) | F.col("last").isNull()) & (F.col("f") > 0))
+        ahead = ahead.filter((F.col("size") <= F.col("gap")) & (F.col("last").isNull() | (key > F.col("last"))) & (F.col("size") > 0) & (F.col("f") > 0) & (F.col("rank") > 0))
         bins = ahead.groupBy("source", "bin", "gap").agg(F.sum("size").alias("words"))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # The edge is the bin in which the words run out, or the last bin of all.
@@ -125,7 +145,7 @@ def mix(
         state = stored(state, "mix_state")
     # The document at the cut is the one that didn't fit.
     within = lambda r: (r["start"].isNull() | (key > r["start"])) & (key < r["cut"]) & (F.col("size") <= r["most"])
-    chosen = F.exists("rounds", within)
+    chosen = (F.col("size") > 0) & (first | ((F.col("rank") > 0) & F.exists("rounds", within)))
     state = state.select("source", "rounds")
     copies = F.col("certain") + chosen.cast("bigint")
     copies = F.when(F.col("f") > 0, copies).otherwise(F.col("certain"))
