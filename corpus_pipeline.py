@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import byte_bpe, langid, line_dedup, mixing, ngram_join
-from sievelake.llm.shared import stored
+from sievelake.llm.shared import stored, unused
 
 #: A text whose cosine with every language's prototype is below this is in none of them: it shares next to no trigram with
 #: any (chance alone gives up to 0.06 or so in 1,024 dimensions). Short clean texts have low cosines, too, from about 0.1.
@@ -27,29 +27,43 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated line chunks out of the texts; every document stays, with its new ``n_chars``."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, report=False)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share an id or have none."""
+    return not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty()
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links (Jaccard of five-word shingles of at least 0.8) connect, keep the one with the smallest id, and of the passages that
     documents kept still share, the first: now the document that keeps a passage stays itself.
+
+    Rows that share an id are one row repeated, of which one stays; rows without an id come behind all others, each its own.
     """
-    named = docs.withColumn("__id", F.col("doc_id"))
-    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        # Rows without an id get one behind all others, each its own; a row repeated counts once.
+    named, key = docs, unused(docs, "__id")
+    if ids_repeat(docs):
         others = F.monotonically_increasing_id() + F.lit(1 << 62)
-        named = stored(named.withColumn("__id", F.coalesce("__id", others)).dropDuplicates(["__id"]), "named")
-    first = ngram_join.ngram_join(named, id_col="__id", words=5, threshold=80).filter(F.col("__id") == F.col("component_id")).select("__id")
-    kept = line_dedup.drop_passages(named.join(first, "__id", "left_semi"), id_col="__id")
+        named = stored(docs.withColumn(key, F.coalesce("doc_id", others)).dropDuplicates([key]), "named")
+    else:
+        named = docs.withColumn(key, F.col("doc_id"))
+    first = ngram_join.ngram_join(named, id_col=key).filter(F.col(key) == F.col("component_id")).select(key)
+    kept = line_dedup.drop_passages(named.join(first, key, "left_semi"), id_col=key)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bring the sources to their target weights: a document stands in the result as often as the mix takes it."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).filter("__copies > 0")
-    copies = copies.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(docs.columns)
+    """Bring the sources to their target weights: a document stands in the result as often as the mix takes it.
+
+    Rows that share an id, and rows without one, are mixed as rows of their own.
+    """
+    key, n = unused(docs, "__id"), unused(docs, "__copies")
+    named = docs.withColumn(key, F.col("doc_id"))
+    if ids_repeat(docs):
+        named = stored(docs.withColumn(key, F.monotonically_increasing_id()), "named")
+    copies = mixing.mix(named, id_col=key).filter("copies > 0").select(key, F.col("copies").alias(n))
+    return named.join(copies, key).withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), n))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
