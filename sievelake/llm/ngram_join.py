@@ -246,7 +246,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     one = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("cold").alias("sig"))
     by_size = Window.partitionBy("sig").orderBy("n", "id")
     one = one.withColumn("pivot", F.lag("id").over(by_size)).withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
-    up, down = F.coalesce(fits("n", "above"), F.lit(False)), F.coalesce(fits("n", "below"), F.lit(False))
+    up, down = (F.col(c).isNotNull() & fits("n", c) for c in ("above", "below"))  # least and greatest pass over nulls
     cold = scratch(one.filter(up | down).select("sig", "id", "n", F.when(down, F.col("pivot")).alias("pivot")), "cold")
     one = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("hot").alias("sig"))
     firsts = one.groupBy("sig").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"))
