@@ -168,9 +168,9 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, count: str, salt: C
     limit = max(HOT_ROWS, (seen["total"] or 0) // MOST_HOT)
     if (seen["most"] or 0) <= limit:
         return rows.join(table.drop(count), key, how)
-    salts = F.ceil(F.col(count) / limit).cast("int")
-    hot = table.filter(F.col(count) > limit).select(F.col(key).alias("__key"), salts.alias("__salts"))
-    own = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
-    own = own.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("__salts")).cast("int"), F.lit(0))).drop("__key", "__salts")
-    many = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > limit, salts - 1).otherwise(0)))).drop(count)
-    return own.join(many, [key, "__salt"], how).drop("__salt")
+    salts, hot_key, hot_salts, salted = F.ceil(F.col(count) / limit).cast("int"), unused(rows, "__hot"), unused(rows, "__salts"), unused(rows, "__salt")
+    hot = table.filter(F.col(count) > limit).select(F.col(key).alias(hot_key), salts.alias(hot_salts))
+    own = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
+    own = own.withColumn(salted, F.coalesce(F.pmod(F.xxhash64(salt), F.col(hot_salts)).cast("int"), F.lit(0))).drop(hot_key, hot_salts)
+    many = table.withColumn(salted, F.explode(F.sequence(F.lit(0), F.when(F.col(count) > limit, salts - 1).otherwise(0)))).drop(count)
+    return own.join(many, [key, salted], how).drop(salted)

@@ -373,8 +373,10 @@ def brute_lines(pairs, every=line_dedup.EVERY, least=line_dedup.MIN_LINES):
     return out
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
 @pytest.mark.parametrize("which", ["docs", "small"])
-def test_line_dedup(which, request, empty):
+def test_line_dedup(which, hot, request, empty, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
     df = request.getfixturevalue(which)
     got = {r["doc_id"]: (r["n_lines"], r["lines_removed"], r["text"]) for r in rows(line_dedup.line_dedup(df))}
     texts = {r["doc_id"]: r["text"] for r in rows(df.select("doc_id", "text"))}
@@ -385,6 +387,16 @@ def test_line_dedup(which, request, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b\nc d\ne f", 7, "k", "g"), (2, "x", 8, None, "h")], "doc_id bigint, text string, n_lines int, __key string, __gone string")
+    got = sorted(rows(line_dedup.line_dedup(df, report=False)), key=lambda r: r["doc_id"])
+    assert [(r["n_lines"], r["__key"], r["__gone"]) for r in got] == [(7, "k", "g"), (8, None, "h")]
+    assert [r["n_lines"] for r in sorted(rows(line_dedup.line_dedup(df)), key=lambda r: r["doc_id"])] == [3, 1]
+    assert [(r["n_lines"], r["__key"], r["__gone"]) for r in sorted(rows(line_dedup.drop_passages(df)), key=lambda r: r["doc_id"])] == [(7, "k", "g"), (8, None, "h")]
+    assert rows(langid.predict(df.withColumn("score", F.lit("own")), {}, keep=tuple([*df.columns, "score"]), named=("a", "b")))[0]["score"] == "own"
+    assert rows(langid.predict(df.withColumn("score", F.lit("own")), {}, keep=("doc_id", "score")))[0]["score"] == 0.0
+
+
 def brute_passages(pairs, least):
     """All runs of lines that have enough words, of any length, not the shortest ones alone."""
     texts = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")] for i, t in pairs}
@@ -424,8 +436,9 @@ def test_drop_passages(spark):
     assert len(got) == len(made)
 
 
-@pytest.mark.parametrize("least", [5, 8])
-def test_drop_passages_finds_all_runs(spark, least):
+@pytest.mark.parametrize("least,hot", [(5, 1000), (8, 2)])
+def test_drop_passages_finds_all_runs(spark, monkeypatch, least, hot):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
     r = np.random.default_rng(11)
     pool = [" ".join([f"p{k}"] * int(r.integers(1, 7))) for k in range(5)]
     made = [(i, "\n".join(pool[k] if k < 5 else f"only {i}" for k in r.integers(0, 7, 9))) for i in range(25)]
