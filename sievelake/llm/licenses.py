@@ -23,18 +23,68 @@ from .shared import arrow_map, texts, values
 #: Words: runs of digits, letters a-z and everything beyond ASCII; in UTF-8 those are bytes from 0x80.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
+# The wording of well-known licences and of the notices that name them, with the markup above.
 TEMPLATES = {
-    "apache-2.0": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0",
-    "mit": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>released under the <<beginOptional>>terms of the<<endOptional>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
-    "gpl-3.0": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>gnu<<endOptional>> general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>",
-    "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by <<beginOptional>>version<<endOptional>> 4 0",
-    "cc-by-nc-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc <<beginOptional>>version<<endOptional>> 4 0",
-    "cc-by-sa-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by sa <<beginOptional>>version<<endOptional>> 4 0",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "apache-2.0": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>licensed under the Apache License <<beginOptional>>version<<endOptional>> 2 0",
+    "mit": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>released under the <<beginOptional>>terms of the<<endOptional>> MIT license",
+    "gpl-3.0": "<<beginOptional>>this <<var;min=1;max=3>> is <<endOptional>>licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>GNU<<endOptional>> General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>",
+    "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY <<beginOptional>>version<<endOptional>> 4 0",
+    "cc-by-nc-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY NC <<beginOptional>>version<<endOptional>> 4 0",
+    "cc-by-sa-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY SA <<beginOptional>>version<<endOptional>> 4 0",
     "copyright-notice": "copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=8>> all rights reserved",
+    "mit-text": """<<beginOptional>>The MIT License <<beginOptional>>MIT<<endOptional>><<endOptional>> <<beginOptional>>Copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>>
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+        to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL <<var;min=1;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
+    "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>>
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
+        appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;min=1;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL <<var;min=1;max=12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+        OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    "bsd-text": """<<beginOptional>>Copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.
+        <<beginOptional>><<beginOptional>>3<<endOptional>> Neither the name of <<var;min=1;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.<<endOptional>>
+        THIS SOFTWARE IS PROVIDED BY <<var;min=1;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;min=1;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
+    "zlib-text": """<<beginOptional>>Copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>>
+        This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;min=1;max=4>> be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<beginOptional>>1<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        <<beginOptional>>3<<endOptional>> This notice may not be removed or altered from any source distribution""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+        and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+        for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future
+        rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+        WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE <<beginOptional>>For more information, please refer to <<var;min=1;max=1>> unlicense org<<endOptional>>""",
+    "apache-2.0-notice": """<<beginOptional>>Copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=20>><<endOptional>>
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var;min=1;max=2>> except in compliance with the License. You may obtain a copy of the License at
+        <<var;min=1;max=9>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+        ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License""",
+    "gpl-notice": """This <<var;min=1;max=3>> is free software: you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>>
+        General Public License as published by the Free Software Foundation, either version <<var;min=1;max=2>> of the License, or (at your option) any later version.
+        This <<var;min=1;max=3>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License for more details.
+        You should have received a copy of the GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License along with this <<var;min=1;max=3>> If not, see
+        <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www gnu org licenses""",
 }
-MARK = re.compile(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>|([0-9a-z]+)")
+MARK = re.compile(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>|([0-9A-Za-z]+)")
 ANY = b""
 
 
@@ -55,7 +105,7 @@ class Automaton:
         for m in MARK.finditer(template):
             now = len(self.steps) - 1
             if m[4]:
-                self.steps[now][m[4].encode()] = state()
+                self.steps[now][m[4].lower().encode()] = state()
             elif m[1] == "beginOptional":
                 opened.append(now)
                 self.free[now].append(state())
@@ -73,7 +123,7 @@ class Automaton:
                 end = len(self.steps) - 1
                 for s in end_of:
                     self.free[s].append(end)
-        if opened or MARK.sub("", template).strip():
+        if opened or re.search("<<|>>", MARK.sub("", template)):
             raise ValueError(f"markup that isn't closed or known: {template!r}")
         self.last = len(self.steps) - 1
         self.start = self.closed({0})
