@@ -118,7 +118,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
 
 
 class _Predict:
-    def __init__(self, keep: tuple[str, ...], text_col: str, named: tuple[str, str], names: list[str], prototypes: np.ndarray):
+    def __init__(self, keep: tuple[str, ...], text_col: str, named: tuple[str, ...], names: list[str], prototypes: np.ndarray):
         self.keep, self.text_col, self.named, self.names, self.prototypes = keep, text_col, named, names, prototypes
 
     def __call__(self, batch: pa.RecordBatch) -> dict:
@@ -133,12 +133,14 @@ class _Predict:
                 known = codes.size and self.names
                 langs.append(self.names[int(row.argmax())] if known else UNKNOWN)
                 scores.append(min(1.0, max(0.0, float(row.max()))) if known else 0.0)
-        return {**{c: batch.column(batch.schema.get_field_index(c)) for c in self.keep}, self.named[0]: langs, self.named[1]: scores}
+        found = zip(self.named, (langs, scores, [codes.size for codes, _ in found]))
+        return {**{c: batch.column(batch.schema.get_field_index(c)) for c in self.keep}, **dict(found)}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", named: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` (the cosine, 0 at least) of every row; the text is the only input.
-    ``named`` gives these two other names; a kept column that has one of them gives way.
+    ``named`` gives these two other names; a third name is a column for the number of distinct trigrams that the score rests on.  A
+    kept column that has one of these names gives way.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if there are no
     prototypes (an empty training table).  Equal cosines go to the first language by code point.
@@ -148,7 +150,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, .
     names = [k for k in prototypes if lengths[k] > 0]
     matrix = np.stack([prototypes[k] / lengths[k] for k in names]) if names else np.zeros((1, DIMENSIONS))
     keep = tuple(c for c in keep if c not in named)
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{named[0]}` string, `{named[1]}` double"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` {t}" for c, t in zip(named, ("string", "double", "bigint")))])
     return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), _Predict(keep, text_col, named, names, matrix), schema, text_col)
 
 
