@@ -33,8 +33,8 @@ from .shared import shuffle_parts, slices, texts, values
 BLOCK, PERCENTILE = 128, 90
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 19
-#: So many known words in a worker before the table starts anew.
-KNOWN = 500_000
+#: So many known words, of at most LONGEST bytes, in a worker before the table starts anew.
+KNOWN, LONGEST = 400_000, 64
 HEAD = struct.Struct("<4sIIQI")
 
 
@@ -157,7 +157,8 @@ class WordIds(dict):
             low = simple[1].lower()
             shown = low if low.isascii() else low.encode().decode("latin-1").translate(AS_LETTERS)
             ids = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
