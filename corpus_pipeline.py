@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 from sievelake.llm import byte_bpe, langid, line_dedup, mixing, ngram_join
 from sievelake.llm.shared import stored, unused
 
-#: A text whose cosine with every language's prototype is below this is in none of them: it shares next to no trigram with
-#: any (chance alone gives up to 0.06 or so in 1,024 dimensions). Short clean texts have low cosines, too, from about 0.1.
-LEAST_LIKENESS = 0.05
+#: A text is in no known language if its cosine with every language's prototype is below LIKENESS times the square root of the number
+#: of its distinct trigrams, or below MOST_LIKENESS where that is more.  So grows the cosine of clean texts, which share each trigram
+#: with some chance (on sf0.1 at least 0.1 for 9 trigrams, 0.2 for 40, 0.3 for 64, 0.42 for 128); that of letters without a language
+#: stays where chance leaves it, whatever the length (under 0.13; random letters, which hit true trigrams as well, under 0.2).
+LIKENESS, MOST_LIKENESS = 0.02, 0.2
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter (null included) and those like no language that the labelled rows have."""
-    found = langid.predict(docs, langid.train(docs), keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS)).select(docs.columns)
+    """Drop texts without a letter (null included) and those like no language that the labelled rows have.
+
+    Without any labelled row there is no language to be like, and all texts go.
+    """
+    lang, score, trigrams = (unused(docs, c) for c in ("__lang", "__score", "__trigrams"))
+    found = langid.predict(docs, langid.train(docs), keep=tuple(docs.columns), named=(lang, score, trigrams))
+    least = F.least(F.lit(LIKENESS) * F.sqrt(F.col(trigrams)), F.lit(MOST_LIKENESS))
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= least)).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
