@@ -340,6 +340,43 @@ def test_langid(docs, small, empty):
     assert {r["lang_pred"] for r in rows(langid.predict(docs, {}))} == {"und"}
 
 
+def test_langid_by_brute_force(small, docs):
+    """Prototypes and predictions from single trigrams, one text at a time; with a tie and a language of one text."""
+    dims, held = 128, {}
+    spark = small.sparkSession
+    made = [(r["doc_id"], r["text"], r["lang"]) for r in rows(small.limit(70))] + [(r["doc_id"], r["text"], r["lang"]) for r in rows(docs.select("doc_id", "text", "lang"))]
+    made += [(5000, "qqq zzz", "b"), (5001, "qqq zzz", "a"), (5002, "qqq zzz", None), (5003, None, "c"), (5004, "12 !", "d")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string").repartition(3)
+
+    def vector(text):
+        letters = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()]
+        symbols = [0]
+        for c in letters + [0]:
+            if c or symbols[-1]:
+                symbols.append(c)
+        out = np.zeros(dims)
+        for tri in zip(symbols, symbols[1:], symbols[2:]):
+            if tri not in held:
+                a, b, c = (langid.space(dims).rows(np.array([x])).astype(float)[0] for x in tri)
+                held[tri] = np.roll(a, 2) * np.roll(b, 1) * c
+            out += held[tri]
+        return out
+
+    vectors = [vector(t) for _, t, _ in made]
+    sums = {}
+    for v, (_, t, lang) in zip(vectors, made):
+        if lang is not None and t is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    want = {}
+    for v, (i, _, _) in zip(vectors, made):
+        cosine = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in sums.items() if p.any()} if v.any() else {}
+        best = max(cosine.values(), default=0.0)
+        want[i] = (min((k for k, c in cosine.items() if c > best - 1e-9), default="und"), min(1.0, max(0.0, best)))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows(langid.predict(df, langid.train(df, dims=dims)))}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()} and want[5002][0] == "a" and want[5004][0] == "und"
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
+
+
 def test_langid_vectors_are_the_bound_letters():
     dims = 64
     codes, counts = langid.trigrams("ab, c")
@@ -521,6 +558,64 @@ def test_template_automata(template, text, end):
     assert licenses.Automaton(template).longest([w.encode() for w in text.split()], 0) == end
 
 
+def template_pattern(template):
+    """The template as a regular expression over words that each end with a blank."""
+    out = ""
+    for mark, low, high, word in re.findall(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>|([0-9A-Za-z]+)", template):
+        out += {"beginOptional": "(?:", "endOptional": ")?"}.get(mark) or (f"{word.lower()} " if word else f"(?:[^ ]+ ){{{low},{high}}}")
+    return re.compile(out)
+
+
+def brute_spans(pattern, words):
+    """Leftmost, longest: every start, and of it every end."""
+    found, at = [], 0
+    while at < len(words):
+        ends = [j for j in range(at + 1, len(words) + 1) if pattern.fullmatch("".join(f"{w} " for w in words[at:j]))]
+        if ends:
+            found.append((at, ends[-1]))
+        at = ends[-1] if ends else at + 1
+    return found
+
+
+def some_wording(template, r):
+    """A text that the template accepts, its regions drawn at random."""
+    out, skipped, opened = [], 0, []
+    for mark, low, high, word in re.findall(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>|([0-9A-Za-z]+)", template):
+        if mark == "beginOptional":
+            opened.append(bool(r.integers(0, 2)))
+            skipped += opened[-1]
+        elif mark == "endOptional":
+            skipped -= opened.pop()
+        elif not skipped:
+            out += [word] if word else [f"v{r.integers(0, 9)}"] * int(r.integers(int(low), int(high) + 1))
+    return out
+
+
+def test_licenses_by_brute_force(spark):
+    """Labels, spans and score of texts made from all templates, whole, spoilt and mixed with other words."""
+    r = np.random.default_rng(2)
+    made = []
+    for label, template in licenses.TEMPLATES.items():
+        for k in range(4):
+            words = some_wording(template, r)
+            if k == 3:
+                words[int(r.integers(0, len(words)))] = "spoilt"
+            made.append((len(made), " ".join(["Before, it"] * int(r.integers(0, 3)) + words + ["(after)"] * int(r.integers(0, 3)))))
+    made += [(1000, "This work is licensed under the GNU General Public License, version 3. All rights reserved"), (1001, None), (1002, "")]
+    got = {x["doc_id"]: x for x in rows(licenses.scan(spark.createDataFrame(made, "doc_id bigint, text string")))}
+    every = {**licenses.TEMPLATES, **licenses.BASE}
+    patterns, whole = {k: template_pattern(v) for k, v in every.items()}, 0
+    for i, t in made:
+        words = re.findall(r"[0-9a-z]+", (t or "").lower())
+        want = [(k, a, b) for k, p in patterns.items() for a, b in brute_spans(p, words)]
+        assert sorted((x["label"], x["first"], x["end"]) for x in got[i]["spans"]) == sorted(want)
+        assert got[i]["labels"] == ",".join(sorted({k for k, _, _ in want}))
+        covered = set().union(*(range(a, b) for _, a, b in want))
+        assert got[i]["score"] == (len(covered) / len(words) if words else 0.0)
+        whole += any(k.endswith("-text") for k, _, _ in want)
+    assert whole >= 15
+
+
 def test_templates_must_be_well_formed():
     for bad in ("a <<beginOptional>> b", "<<beginOptional>>a<<endOptional>>", "a <<what>> b"):
         with pytest.raises(ValueError):
@@ -547,6 +642,26 @@ def test_token_files(spark, docs, small, empty, tmp_path):
     assert token_files.read_token_files(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_rows_without_id_and_long_texts(spark, tmp_path):
+    """Null ids come first or last as the docstrings say, repeated rows come out repeated, a text of megabytes is whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = "many words of one text " * 60_000
+    made = [(None, "b a"), (None, "b a"), (None, None), (4, long), (4, long), (-3, "x")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    token_files.write_token_files(df, path, f"{tmp_path}/ids", end_id=2)
+    got = sorted(rows(token_files.read_token_files(spark, f"{tmp_path}/ids", keep=("ids",))), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, None, -3, 4, 4] and got[-1]["n_tokens"] > 60_000 and got[-1]["ids"] == got[-2]["ids"]
+    two = sorted(rows(fingerprints.fingerprint_documents(df)), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]))
+    assert [(r["doc_id"], r["n_chars"]) for r in two] == [(None, 0), (None, 3), (None, 3), (-3, 1), (4, len(long)), (4, len(long))]
+    lines = spark.createDataFrame([(None, "p q\nr s\nt u\nv"), (2, "p q\nr s\nt u\nv"), (2, "p q\nr s\nt u\nv")], "doc_id bigint, text string")
+    out = [(r["doc_id"], r["text"]) for r in rows(line_dedup.line_dedup(lines, every=1000))]
+    assert sorted(out, key=str) == sorted([(None, ""), (2, "p q\nr s\nt u\nv"), (2, "p q\nr s\nt u\nv")], key=str)
+    mixed = rows(mixing.mix(df.withColumn("source", F.lit(None).cast("string"))))
+    assert len(mixed) == 6 and all(r["taken"] == r["copies"] * r["size"] for r in mixed)
+    near = rows(ngram_join.ngram_join(df))
+    assert sorted(((r["doc_id"], r["component_id"]) for r in near), key=str) == sorted([(None, None)] * 3 + [(4, 4), (4, 4), (-3, -3)], key=str)
+
+
 def test_token_blocks_round_trip():
     r = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):

@@ -1,19 +1,20 @@
 """The pipeline's stages, each held against the operator's brute-force version on what its predecessor kept."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from .test_operators import SF, brute_components, brute_lines, rows
 
-from sievelake.llm import mixing
+from sievelake.llm import byte_bpe, mixing
+from sievelake.llm.shared import stored
 
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
     steps = dict(corpus_pipeline.STAGES)
-    odd = spark.createDataFrame([(900_001, None, "en", "z", 0), (900_002, "12 34", "en", "z", 5)], docs.schema)
-    kept = steps["language_id"](spark, docs.unionByName(odd), SF)
+    kept = steps["language_id"](spark, docs, SF)
     assert kept.columns == names and {r["doc_id"] for r in rows(kept)} == {r["doc_id"] for r in rows(docs)}
 
     clean = steps["line_dedup"](spark, kept, SF)
@@ -36,8 +37,53 @@ def test_stages(spark):
     assert out.count() == sum(copies.values()) and "ids" in out.columns
 
 
+def test_texts_of_no_language_go(spark):
+    """Letters without a language, of all lengths, beside the shortest clean texts and rows that the table may have."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    draw = np.random.default_rng(0)
+
+    def made(letters, n):
+        return " ".join("".join(draw.choice(list(letters), draw.integers(3, 9))) for _ in range(n))
+
+    junk = [made(x, n) for x in ("bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрст", "ᚠᚢᚦᚨᚱᚲᚷᚹᚺᚾ", "日本語東京都大学研究所") for n in (6, 20, 80, 400)] + [None, "", " \n", "12 34", "!!!"]
+    clean = sorted((r["text"] for r in rows(docs) if r["text"] and len(r["text"]) > 8), key=len)[:40]
+    table = spark.createDataFrame([(900_000 + i, t, None, "z", 0) for i, t in enumerate(junk + clean)], docs.schema)
+    kept = {r["doc_id"] - 900_000 for r in rows(dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(table), SF)) if r["doc_id"] >= 900_000}
+    assert kept == set(range(len(junk), len(junk) + len(clean)))
+
+
+def test_stages_take_odd_tables(spark):
+    """Empty tables, nulls in any column, repeated rows, and columns that are called like those made on the way."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    for name, step in steps.items():
+        assert step(spark, docs.limit(0), SF).count() == 0, name
+    text = docs.filter("doc_id = 3").first()["text"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, text, None, None, None), (3, text, "en", None, 1), (3, text, "en", None, 1), (5, "", "en", "z", 0)], docs.schema)
+    base = docs.limit(60).unionByName(odd)
+    for c in ("__id", "__key", "__copies", "__lang", "score", "n_lines", "copies", "id", "size", "rank", "component_id"):
+        base = base.withColumn(c, F.lit("own"))
+    for name, step in steps.items():
+        out = step(spark, base, SF)
+        if name != "byte_bpe":
+            assert out.columns == base.columns and out.filter("score = 'own' and __key = 'own' and __id = 'own'").count() == out.count(), name
+    # A row that stands thrice is mixed thrice, each by its own draw.
+    thrice = spark.createDataFrame([(i // 3, f"w{i // 3} " * 10, "en", "ab"[i % 2], 1) for i in range(90)], docs.schema)
+    mixed = steps["mixing"](spark, thrice, SF)
+    assert mixed.count() == sum(r["copies"] for r in rows(mixing.mix(thrice.withColumn("doc_id", F.monotonically_increasing_id()))))
+
+
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The tokens of the whole pipeline are those of its last stage's input."""
+    import tiktoken
+
+    path = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=corpus_pipeline.public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(open(path, "rb").read()), special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = stored(step(spark, docs, SF), "test_stage")
+    want = sorted((r["doc_id"], np.array(library.encode_ordinary(r["text"]), dtype="<u4").tobytes()) for r in rows(docs))
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in rows(corpus_pipeline.run(spark, SF))) == want
 
 
 def test_one_line_passages_stay_once(spark):
