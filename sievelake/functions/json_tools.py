@@ -4,29 +4,41 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+FENCE = "```"
+#: The widest span that could be a list, then one that could be an object.
+SPANS = (re.compile(r"\[.*\]", re.S), re.compile(r"\{.*\}", re.S))
+
+
+def unfenced(line: str) -> str:
+    """A line without the marks of a code block at its ends."""
+    if line.startswith(FENCE):
+        line = line[len(FENCE) :].removeprefix("json")
+    return line.removesuffix(FENCE)
+
+
+def candidates(text: str) -> Iterator[str]:
+    body = "\n".join(map(unfenced, text.strip().split("\n"))).strip()
+    yield body
+    yield from (found[0] for span in SPANS if (found := span.search(body)))
+
 
 def tolerant(text: str | None):
-    """The JSON value in a text: without code fences, else from the outermost brackets, else braces.
+    """The JSON value in a text: all of it but code fences, else its widest span in brackets, else in braces.
 
-    An object is unwrapped to its first list, if it has one; null if nothing parses.
+    Of an object that has lists the first list is the value; null if nothing parses.
     """
-    if not text:
-        return None
-    text = re.sub(r"^```(?:json)?|```$", "", text.strip(), flags=re.MULTILINE).strip()
-    spans = [(0, len(text))] + [(text.find(a), text.rfind(b) + 1) for a, b in ("[]", "{}")]
-    for start, end in spans:
-        if start < 0 or end <= start:
-            continue
-        try:
-            value = json.loads(text[start:end])
-        except ValueError:
-            continue
-        return next((v for v in value.values() if isinstance(v, list)), value) if isinstance(value, dict) else value
+    for candidate in candidates(text or ""):
+        with suppress(ValueError):
+            value = json.loads(candidate)
+            lists = [v for v in value.values() if isinstance(v, list)] if isinstance(value, dict) else []
+            return lists[0] if lists else value
     return None
 
 
@@ -35,10 +47,7 @@ def parse_tolerant(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def parse(s: pd.Series) -> pd.Series:
-        def one(t):
-            value = tolerant(t)
-            return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
-
-        return s.map(one, na_action="ignore")
+        found = map(tolerant, (t if isinstance(t, str) else None for t in s))
+        return pd.Series([None if v is None else json.dumps(v, ensure_ascii=False, sort_keys=True) for v in found], dtype=object)
 
     return parse(c)

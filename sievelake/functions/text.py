@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates words in Python's sense; the four ASCII separators are not in Java's class.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
+#: The same characters one by one, inside a class: as fast as a class can be.
+BLANKS = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The signs stripped from both ends of a word.
 EDGE_SIGNS = ".,;:!?()\"'«»፡።፣፤፥፦፧"
 CONTEXT_MARK = "\n\nContext:\n"
@@ -30,31 +31,20 @@ def clean_spaces(c: Column) -> Column:
     return F.regexp_replace(c, "[ \\t\\u00a0]{2,}", " ")
 
 
-def norm(c: Column) -> Column:
-    """Folded text: lower case (ß as ss), letters, digits, underscores and single blanks alone.
-
-    For text in Unicode form C; ``norm_any`` also composes and folds all of Unicode.
-    """
-    kept = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"(?U)[^\p{L}\p{N}_\s]", "")
-    return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
-
-
-def norm_any(c: Column) -> Column:
-    """``norm`` for text in any Unicode form: composed to form C and case-folded in full (Arrow batches)."""
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        import re
-        import unicodedata
+def composed_and_folded(c: Column) -> Column:
+    """Unicode form C, then full case folding (ß as ss, ς as σ): the ICU library that Spark brings, called in the JVM."""
+    text = F.coalesce(c, F.lit(""))
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(c.isNotNull(), F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True)))
 
-        def one(t):
-            if t is None:
-                return None
-            t = re.sub(r"[^\w\s]", "", unicodedata.normalize("NFC", t).casefold())
-            return " ".join(t.split())
 
-        return s.map(one, na_action="ignore")
+def norm(c: Column) -> Column:
+    """Folded text: composed, case-folded, and of the rest letters, digits, underscores and single blanks alone.
 
-    return fold(c)
+    Not to stand inside an aggregate function: Spark takes calls into a library for nondeterministic.
+    """
+    kept = F.regexp_replace(composed_and_folded(c), rf"[^\p{{L}}\p{{N}}_{BLANKS}]+", "")
+    return F.trim(F.regexp_replace(kept, f"[{BLANKS}]+", " "))
 
 
 def sha(n: Column) -> Column:
@@ -63,8 +53,11 @@ def sha(n: Column) -> Column:
 
 
 def grams(n: Column, size: int = 4) -> Column:
-    """Distinct character n-grams of a folded text, blanks included; a shorter text is its own single gram."""
-    found = F.array_distinct(F.regexp_extract_all(n, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    """Distinct character n-grams of a folded text, blanks included; a shorter text is its own single gram.
+
+    Each match looks ahead and takes one whole character, so none begins inside a character of two units.
+    """
+    found = F.array_distinct(F.regexp_extract_all(n, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
     return F.when(F.char_length(n) < size, F.array(n)).otherwise(found)
 
 

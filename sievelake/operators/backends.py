@@ -33,6 +33,10 @@ class QuotaExhausted(RuntimeError):
     """Raised by a backend to end the run at once; what is done is kept."""
 
 
+class JsonModeRejected(RuntimeError):
+    """Raised by a backend whose model knows no JSON mode: the call, and all later ones of the task, go without it."""
+
+
 class StubBackend:
     """Offline: replies that depend on the prompt alone."""
 
@@ -49,13 +53,14 @@ class StubBackend:
 def called(df: DataFrame, backend: Backend, prompt: str, temperature: float, json_mode: bool = False, name: str = "reply", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``df`` with the backend's reply to each prompt; parallel by partition.
 
-    A call that fails is tried again after growing waits; an empty reply is not. When FAILURES calls in a row have failed,
+    A call that fails is tried again after growing waits; an empty reply is not. JSON mode is switched off once the model
+    rejects it; that call counts as an attempt without a wait. When FAILURES calls in a row have failed,
     the partition's other rows get no reply: they stay undone and a later run takes them up.
     """
     schema = StructType([*df.schema.fields, StructField(name, StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        streak = 0
+        streak, as_json = 0, json_mode
         for frame in frames:
             replies: list[str | None] = []
             for p in frame[prompt]:
@@ -63,12 +68,14 @@ def called(df: DataFrame, backend: Backend, prompt: str, temperature: float, jso
                 if streak < FAILURES:
                     for attempt in range(ATTEMPTS):
                         try:
-                            reply = backend(p, temperature, json_mode) or None
+                            reply = backend(p, temperature, as_json) or None
                             streak = 0
                             break
                         except QuotaExhausted:
                             streak = FAILURES
                             break
+                        except JsonModeRejected:
+                            as_json = False
                         except Exception:  # noqa: BLE001  whatever the client raises
                             sleep(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt))
                     else:

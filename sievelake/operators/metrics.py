@@ -31,10 +31,16 @@ def generation_metrics(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.avg("new_tokens").alias("mean_new_tokens"),
     ]
     if "prompt" in df.columns:
-        out.append(F.avg(copy_share(text, F.col("prompt"))).alias("copy_rate"))
+        df = df.withColumn("__copied", copy_share(text, F.col("prompt")))
+        out.append(F.avg("__copied").alias("copy_rate"))
     return df.groupBy(*keys).agg(*out)
 
 
+def mean_shares(df: DataFrame, keys: tuple[str, ...], shares: dict[str, Column]) -> DataFrame:
+    """Per group: the mean of each share of letters, over rows."""
+    return df.groupBy(*keys).agg(*(F.avg(c).alias(name) for name, c in shares.items()))
+
+
 def run_stats(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per run of ``df`` (keys, seconds, new_tokens): time per answer, tokens per second as a ratio of sums, and how many
     answers are as long as they may be."""

@@ -23,7 +23,7 @@ def still_open(items: DataFrame, ratings: DataFrame, key: str = "eval_id") -> Da
 
 def by_model(ratings: DataFrame, key: DataFrame, tasks: DataFrame) -> DataFrame:
     """(eval_id, task, fluency_base, fluency_distilled, correct_base, correct_distilled): the blinding undone."""
-    rows = ratings.join(F.broadcast(key), "eval_id").join(F.broadcast(tasks.select("eval_id", "task")), "eval_id")
+    rows = ratings.join(key, "eval_id").join(tasks.select("eval_id", "task"), "eval_id")
     first = F.col("A_is") == "base"
 
     def pick(metric: str, base: bool):

@@ -23,6 +23,19 @@ def ranked(df: DataFrame, groups: tuple[str, ...], order: list[Column], name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
 
 
+#: A group's rows are ranked in so many parts first, and only the best of each part together.
+PARTS = 64
+
+
+def best(df: DataFrame, groups: tuple[str, ...], order: list[Column], cap: Column, by: str) -> DataFrame:
+    """Rows among the first ``cap`` of their group, and some others: those that are so in their part of the group (``by``).
+
+    A later ranking of the whole group then has at most PARTS times ``cap`` rows of it in one task.
+    """
+    part = df.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    return ranked(part, (*groups, "__part"), order, "__k").filter(F.col("__k") <= cap).drop("__part", "__k")
+
+
 def first_k(df: DataFrame, groups: tuple[str, ...], k: int, order: str = "seq") -> DataFrame:
     """The first k rows of each group."""
     return ranked(df, groups, [F.col(order)]).filter(F.col("rank") <= k).drop("rank")
@@ -30,12 +43,14 @@ def first_k(df: DataFrame, groups: tuple[str, ...], k: int, order: str = "seq")
 
 def quota(df: DataFrame, groups: tuple[str, ...], cap: Column, id_col: str = "id", seed: int = SEED) -> DataFrame:
     """At most ``cap`` rows of each group, drawn at random. ``cap`` may depend on the group (halves for directions)."""
-    return ranked(df, groups, [draw(seed, id_col), F.col(id_col)]).filter(F.col("rank") <= cap).drop("rank")
+    order = [draw(seed, id_col), F.col(id_col)]
+    return ranked(best(df, groups, order, cap, id_col), groups, order).filter(F.col("rank") <= cap).drop("rank")
 
 
 def round_robin(df: DataFrame, groups: tuple[str, ...], pool: str, cap: Column, id_col: str = "id", seed: int = SEED) -> DataFrame:
     """The same, but the pools of a group take turns, from the pool whose first row comes first in the draw."""
     df = df.withColumn("__h", draw(seed, id_col))
+    df = best(df, (*groups, pool), [F.col("__h"), F.col(id_col)], cap, id_col)
     df = ranked(df, (*groups, pool), [F.col("__h"), F.col(id_col)], "__r")
     df = df.withColumn("__p", F.min("__h").over(Window.partitionBy(*groups, pool)))
     return ranked(df, groups, [F.col("__r"), F.col("__p"), F.col(id_col)]).filter(F.col("rank") <= cap).drop("rank", "__h", "__r", "__p")
@@ -46,7 +61,8 @@ def stratified(df: DataFrame, group: str, n: int, id_col: str = "id", seq: str =
     first = df.groupBy(group).agg(F.min(seq).alias("__first"))
     groups = max(1, first.count())
     per = -(-n // groups)
-    picked = ranked(df, (group,), [draw(seed, id_col), F.col(id_col)]).filter(F.col("rank") <= per).join(first, group)
+    order = [draw(seed, id_col), F.col(id_col)]
+    picked = ranked(best(df, (group,), order, F.lit(per), id_col), (group,), order).filter(F.col("rank") <= per).join(first, group)
     return picked.orderBy("__first", "rank").limit(n).drop("__first", "rank")
 
 
@@ -69,8 +85,15 @@ def blind(df: DataFrame, id_col: str = "eval_id", seed: int = RATING_SEED) -> Da
 
 
 def batches(df: DataFrame, size: int, groups: tuple[str, ...] = (), order: str = "seq") -> DataFrame:
-    """``batch_id`` and ``i``: consecutive rows in batches of ``size``, numbered from 0 inside each group."""
-    df = ranked(df, groups, [F.col(order)]) if groups else numbered_by(df, F.col(order), name="rank")
+    """``batch_id`` and ``i``: consecutive rows in batches of ``size``, numbered from 0 inside each group.
+
+    Rows are numbered over ranges of group and order, so a large group is several tasks' work.
+    """
+    df = numbered_by(df, *groups, F.col(order), name="rank")
+    if groups:
+        first = df.groupBy(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups))).agg(F.min("rank").alias("__first"))
+        same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+        df = df.join(first, same).withColumn("rank", F.col("rank") - F.col("__first") + 1).drop("__first", *(f"__g{i}" for i in range(len(groups))))
     return df.withColumn("batch_id", F.floor((F.col("rank") - 1) / size).cast("bigint")).withColumn("i", ((F.col("rank") - 1) % size).cast("int")).drop("rank")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_tools, numbers, patterns, repetition, scripts, text
-from ..operators import backends, cascade, contamination, joins, metrics, near_dup, ratings, reports, sampling, vocabulary
+from ..operators import backends, cascade, contamination, joins, metrics, near_dup, prompt_writer, ratings, reports, sampling, vocabulary
 from ..sources import jobs, readers, sinks
 
 QUERIES: dict = {}
@@ -53,7 +53,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def NORM(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def SHA(x: str) -> str:
@@ -177,7 +177,16 @@ def train_near_dup_pairs(spark, sf):
     return near_dup.similar_pairs(d)
 
 
-@query()
+KEPT_SQL = PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ l AS MATERIALIZED (SELECT b AS node, list(a) AS near FROM o WHERE s / (na + nb - s) > 0.8 GROUP BY b),
+ nodes AS MATERIALIZED (SELECT doc_id, near, row_number() OVER (ORDER BY doc_id) AS i FROM documents LEFT JOIN l ON node = doc_id),
+ walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, false AS kept, []::BIGINT[] AS held
+  UNION ALL SELECT n.i, n.doc_id, NOT coalesce(list_has_any(w.held, n.near), false),
+   CASE WHEN coalesce(list_has_any(w.held, n.near), false) THEN w.held ELSE list_append(w.held, n.doc_id) END FROM walk w JOIN nodes n ON n.i = w.i + 1)
+ SELECT doc_id, kept FROM walk WHERE i > 0"""
+
+
+@query(KEPT_SQL)
 def train_near_dup_kept(spark, sf):
     d = prompts(spark, sf).select("seq", text.norm(F.col("content")).alias("n"))
     d = d.select("seq", text.sha(F.col("n")).alias("h"), text.grams(F.col("n")).alias("grams"))
@@ -202,13 +211,36 @@ def cascade_scores(spark, sf):
     return s.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), (F.col("quality") * 3 + 2).cast("string").alias("natural"), F.lit("5").alias("answerable"))
 
 
-@query()
+CASCADE_SQL = HITS.replace("WITH ", "WITH RECURSIVE ", 1) + rf""",
+ p2 AS (SELECT a.doc_id AS a, b.doc_id AS b FROM dg a JOIN dg b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.8),
+ near AS MATERIALIZED (SELECT b AS doc_id, list(a) AS near FROM p2 GROUP BY b),
+ loc AS (SELECT doc_id, {SHA('text')} AS sha, CASE
+  WHEN coalesce(length(regexp_replace(text, '[^\p{{Latin}}]|[^\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')), 0), 0.0) < 0.8 THEN 'script_mismatch'
+  WHEN regexp_matches(regexp_replace(text, '[\p{{Latin}}\p{{Ethiopic}}]', '', 'g'), '\p{{L}}') OR regexp_matches(text, '[ªº]') THEN 'foreign_script'
+  WHEN len(list_filter(string_split_regex(text, '\s+'), lambda w: regexp_matches(w, '[ሀ-᎟]') AND regexp_matches(lower(w), '[a-z]'))) > 0 THEN 'mixed_script_word'
+  WHEN len(list_filter(string_split_regex(text, '\s+'), lambda w: regexp_matches(w, '^[^\p{{L}}]*[ሀ-᎟][^\p{{L}}]*$') AND regexp_matches(w, '\p{{Ethiopic}}'))) >= 2 THEN 'detached_particles'
+  WHEN regexp_matches(text, '(?i)^\s*(?:ጥያቄ|ጽሑፍ|ምንባብ|መልስ|question|passage|text|answer)\s*[:፡]') THEN 'label_in_content' END AS reason FROM documents),
+ ex AS (SELECT doc_id, max(item_id) AS item FROM loc JOIN (SELECT item_id, {SHA('text')} AS sha FROM benchmark) USING (sha) GROUP BY doc_id),
+ low AS (SELECT doc_id FROM labels WHERE quality * 3 + 2 < 4),
+ live AS MATERIALIZED (SELECT l.doc_id, l.sha, n.near, row_number() OVER (ORDER BY l.doc_id) AS i,
+   CASE WHEN f.item_id IS NOT NULL THEN 'near_dup_eval' WHEN w.doc_id IS NOT NULL THEN 'low_prompt_quality' END AS late
+  FROM loc l LEFT JOIN ex USING (doc_id) LEFT JOIN near n USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (doc_id) LEFT JOIN low w USING (doc_id) WHERE l.reason IS NULL AND ex.item IS NULL),
+ walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS reason, []::BIGINT[] AS held, []::VARCHAR[] AS shas
+  UNION ALL SELECT i, doc_id, reason, CASE WHEN reason IS NULL THEN list_append(held, doc_id) ELSE held END, CASE WHEN reason IS NULL THEN list_append(shas, sha) ELSE shas END FROM (
+   SELECT n.i, n.doc_id, n.sha, w.held, w.shas, CASE WHEN list_contains(w.shas, n.sha) THEN 'exact_duplicate_train' WHEN n.late IS NOT NULL THEN n.late WHEN list_has_any(w.held, n.near) THEN 'near_dup_train' END AS reason
+   FROM walk w JOIN live n ON n.i = w.i + 1)),
+ done AS (SELECT doc_id, coalesce(l.reason, CASE WHEN ex.item IS NOT NULL THEN 'exact_duplicate_eval' END, w.reason) AS reason, ex.item FROM loc l LEFT JOIN ex USING (doc_id) LEFT JOIN (SELECT doc_id, reason FROM walk WHERE i > 0) w USING (doc_id))"""
+
+
+@query(CASCADE_SQL + """ SELECT doc_id AS id, d.reason, CASE d.reason WHEN 'exact_duplicate_eval' THEN d.item WHEN 'near_dup_eval' THEN f.item_id END AS eval_id,
+  CASE WHEN d.reason = 'near_dup_eval' THEN f.j END AS jaccard, CASE WHEN d.reason = 'near_dup_eval' THEN f.ce END AS eval_in_prompt, CASE WHEN d.reason = 'near_dup_eval' THEN f.cc END AS content_in_eval, NULL::INT AS words
+  FROM done d LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (doc_id)""")
 def filter_cascade_reasons(spark, sf):
     out = cascade.prompt_cascade(cascade_input(spark, sf), evals(spark, sf), cascade_scores(spark, sf), LATIN_POLICY)
     return out.select("id", "reason", "eval_id", "jaccard", "eval_in_prompt", "content_in_eval", "words")
 
 
-@query()
+@query(CASCADE_SQL + " SELECT reason, count(*) AS n, min(doc_id) AS first_seq FROM done WHERE reason IS NOT NULL GROUP BY reason")
 def drop_counts(spark, sf):
     out = cascade.prompt_cascade(cascade_input(spark, sf), evals(spark, sf), cascade_scores(spark, sf), LATIN_POLICY)
     return reports.reasons(out)
@@ -390,11 +422,17 @@ def copy_and_restate(spark, sf):
   SELECT lang, count(*) FILTER (WHERE doc_id % 40 = 1) AS w, count(*) FILTER (WHERE doc_id % 40 = 2) AS l FROM documents GROUP BY lang)) GROUP BY lang""")
 def sign_tests(spark, sf):
     d = table(spark, sf, "documents")
-    rows = d.groupBy("lang").agg(F.count_if(F.col("doc_id") % 40 == 1).alias("w"), F.count_if(F.col("doc_id") % 40 == 2).alias("l")).collect()
-    return spark.createDataFrame([(r["lang"], numbers.sign_test(r["w"], r["l"])) for r in rows], "lang string, p double")
+    counts = d.groupBy("lang").agg(F.count_if(F.col("doc_id") % 40 == 1).alias("w"), F.count_if(F.col("doc_id") % 40 == 2).alias("l"))
+    return counts.select("lang", numbers.sign_tests(F.col("w"), F.col("l")).alias("p"))
 
 
-@query()
+@query(rf"""WITH {PAIRS}, w AS (SELECT prompt, response AS text, list_filter(string_split_regex(response, '\s+'), lambda x: x <> '') AS ws, {NORM('prompt')} AS p, {NORM('response')} AS r FROM pairs),
+  t AS (SELECT *, replace(p, ' ', '') AS pu, replace(r, ' ', '') AS ru, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS bi,
+    len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS adj, coalesce(length(regexp_replace(text, '[^ሀ-፿]|[^\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')), 0), 0.0) AS ethiopic FROM w),
+  g AS (SELECT *, {GRAMS('pu')} AS pg, {GRAMS('ru')} AS rg FROM t)
+  SELECT 'chat' AS task, count(*) AS n, 100 * avg((ethiopic <= 0.1 AND regexp_matches(text, '[A-Za-z]'))::INT) AS right_script_pct, 100 * avg((trim(text) = '')::INT) AS empty_pct,
+    100 * avg(CASE WHEN len(ws) < 12 THEN 0 WHEN 1 - len(list_distinct(tri)) / len(tri) > 0.3 THEN 1 ELSE 0 END) AS looping_pct, 100 * avg((adj > 0 OR len(bi) <> len(list_distinct(bi)))::INT) AS repeat_loose_pct,
+    100 * avg((3 * len(ws) >= 256)::INT) AS hit_256_pct, avg(3 * len(ws)) AS mean_new_tokens, avg(len(list_intersect(rg, pg)) / len(rg)) AS copy_rate FROM g""")
 def generation_metrics(spark, sf):
     rows = pairs(spark, sf).select(F.lit("chat").alias("task"), F.col("response").alias("text"), "prompt", F.lit("am->en").alias("direction"), text.token_estimate(F.col("response")).alias("new_tokens"))
     return metrics.generation_metrics(rows, ("task",))
@@ -512,3 +550,26 @@ def stub_answers(spark, sf):
 def union_vocab(spark, sf):
     both = table(spark, sf, "conversations").filter("role <> 'system'").select("text").union(table(spark, sf, "benchmark").select("text"))
     return vocabulary.word_counts(both).filter("n >= 50")
+
+
+# ---- reports and the writer stage ---------------------------------------------------------------------------------
+
+
+@query(rf"""WITH w AS (SELECT lang, len({WORDS('text')}) AS n FROM documents), r AS (SELECT lang, list_sort(list(n)) AS v FROM w GROUP BY lang)
+  SELECT lang, len(v)::BIGINT AS n, v[1]::BIGINT AS prompt_min, v[least(len(v) - 1, floor(0.5 * len(v))::BIGINT) + 1]::BIGINT AS prompt_median, v[len(v)]::BIGINT AS prompt_max FROM r""")
+def length_report(spark, sf):
+    return reports.length_report(table(spark, sf, "documents").select("lang", "text"), "lang", {"prompt": F.col("text")})
+
+
+@query(r"""SELECT lang, avg(coalesce(length(regexp_replace(text, '[^\p{Latin}]|[^\p{L}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 0), 0.0)) AS latin FROM documents GROUP BY lang""")
+def mean_script_share(spark, sf):
+    return metrics.mean_shares(table(spark, sf, "documents"), ("lang",), {"latin": scripts.latin_share(F.col("text"))})
+
+
+@query("""WITH t AS (SELECT * FROM (VALUES ('knowledge', 60, 10), ('comprehension', 834, 3), ('translation', 75, 8), ('summarisation', 834, 3)) x(task, jobs, n)),
+  j AS (SELECT task, n, unnest(range(0, jobs)) AS i FROM t), k AS (SELECT task, i, unnest(range(0, n)) AS k FROM j)
+  SELECT task || '|' || i || '#' || k AS id, task, 'stub:writer' AS prompt_writer FROM k WHERE i % 5 <> 0""")
+def written_prompts(spark, sf):
+    todo = jobs.writer_jobs(spark)
+    found = prompt_writer.answered(todo, todo.filter("i % 5 = 0").select("id"), prompt_writer.StubWriter())
+    return prompt_writer.prompt_rows(found, prompt_writer.StubWriter.name).select("id", "task", "prompt_writer")

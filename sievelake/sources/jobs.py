@@ -52,15 +52,20 @@ def writer_jobs(spark: SparkSession, seed: int = SEED) -> DataFrame:
     )
 
 
-#: Plain layouts and instructions for the context layout; callers pass their own reviewed wordings.
+#: Plain layouts and instructions for the context layout, of which each row draws one; callers pass their own reviewed wordings.
 LAYOUTS = {
-    "knowledge": ["{q}", "Question: {q}\n\nAnswer:"],
-    "comprehension": ["Read the text and answer.\n\n{p}\n\n{q}"],
-    "summarisation": ["Sum up this text.\n\n{p}"],
-    "EN2AM": ["Translate into Amharic:\n\n{t}"],
-    "AM2EN": ["Translate into English:\n\n{t}"],
+    "knowledge": ["{q}", "Question: {q}\n\nAnswer:", "Please answer: {q}", "Answer in a few words.\n{q}"],
+    "comprehension": ["Read the text and answer.\n\n{p}\n\n{q}", "{p}\n\nFrom this text: {q}", "Text: {p}\n\nQuestion: {q}"],
+    "summarisation": ["Sum up this text.\n\n{p}", "{p}\n\nWhat does this say, in short?", "Give the main points of the following.\n\n{p}"],
+    "EN2AM": ["Translate into Amharic:\n\n{t}", "How is this said in Amharic? {t}"],
+    "AM2EN": ["Translate into English:\n\n{t}", "How is this said in English? {t}"],
+}
+INSTRUCTIONS = {
+    "comprehension": ["Answer the question from the text.", "Use the text below to answer.", "What does the text say to this question?"],
+    "summarisation": ["Sum up the text.", "Write a short summary.", "State the main idea of the text."],
+    "EN2AM": ["Put this into Amharic.", "Write the text in Amharic."],
+    "AM2EN": ["Put this into English.", "Write the text in English."],
 }
-INSTRUCTIONS = {"comprehension": ["Answer the question from the text."], "summarisation": ["Sum up the text."], "EN2AM": ["Put this into Amharic."], "AM2EN": ["Put this into English."]}
 
 
 def rendered(df: DataFrame, layouts: dict[str, list[str]] = LAYOUTS, instructions: dict[str, list[str]] = INSTRUCTIONS, seed: int = SEED) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: whole datasets are replaced only when all of it is written, rows appended, reports put in place."""
+"""Writers: a dataset is replaced only when all of the new one is written, rows are appended, reports put in place."""
 
 from __future__ import annotations
 
@@ -12,17 +12,37 @@ TASK_NAMES = {"knowledge": "closed_book_knowledge", "comprehension": "instructio
 
 
 def replace(df: DataFrame, path: str, fmt: str = "json", **options) -> None:
-    """Write beside ``path`` and move into its place: readers see the old dataset or the new one."""
+    """Write beside ``path``, then move the old dataset aside and the new one into its place.
+
+    The old one is deleted last.  What a crash between the two moves leaves aside, ``recover`` or the next call puts back.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    recover(spark, path)
+    place = path.rstrip("/")
+    staged = f"{place}.{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(staged)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(conf)
-    if fs.exists(old):
-        fs.delete(old, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, aside = at(staged), at(place), at(f"{place}.before")
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{place} couldn't be moved aside")
     if not fs.rename(new, old):
-        raise OSError(f"{staged} couldn't be moved to {path}")
+        recover(spark, path)
+        raise OSError(f"{staged} couldn't be moved to {place}")
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put a dataset back that a replacement has moved aside without ending; delete what it left if it has ended."""
+    place = path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    old, aside = at(place), at(f"{place}.before")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, old)
 
 
 def append(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -12,7 +12,7 @@ from sievelake.operators import metrics
 
 SF = "/root/testdata/sf0.001"
 SIGNS = ".,;:!?()\"'«»፡።፣፤፥፦፧"
-CASES = ["", " ", "A,  b C!", "Straße_1", "abc", "aaaaa", "የ አኩስም በ ለ", "አዳulis ሰላም", "привет", "ª º", "123 456", "a a b", "one two three one two", "x " * 13, "x " * 11, "ሰላም ልጆች ናቸው።", "\n\nContext:\nbody\n\nContext:\nmore", "• item at the end", "1፲፪", "don't — “stop”"]
+CASES = ["", " ", "A,  b C!", "Straße_1", "abc", "aaaaa", "የ አኩስም በ ለ", "አዳulis ሰላም", "привет", "ª º", "123 456", "a a b", "one two three one two", "x " * 13, "x " * 11, "ሰላም ልጆች ናቸው።", "\n\nContext:\nbody\n\nContext:\nmore", "• item at the end", "1፲፪", "don't — “stop”", unicodedata.normalize("NFD", "Café naïve RÉSUMÉ"), "ΟΔΟΣ ς Ⅻ ﬁn ŉ", "a\x1cb\u3000c\x85d", "𝔘x ẞ"]
 
 
 def norm(t):
@@ -25,12 +25,12 @@ def grams(t):
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(80).collect()]
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     c = F.col("t")
     n = text.norm(c)
     df = spark.createDataFrame([(t,) for t in CASES + docs], "t string")
     return df.select(
-        "t", n.alias("norm"), text.norm_any(c).alias("norm_any"), text.sha(n).alias("sha"), text.grams(n).alias("grams"), text.grams_unspaced(n).alias("unspaced"), text.word_count(c).alias("words"),
+        "t", n.alias("norm"), text.sha(n).alias("sha"), text.grams(n).alias("grams"), text.grams_unspaced(n).alias("unspaced"), text.word_count(c).alias("words"),
         text.bare_words(c).alias("bare"), text.after_context(c).alias("tail"), text.clip(c, 5).alias("clip"), text.strip(c).alias("strip"), scripts.ethiopic_share(c).alias("share"),
         scripts.has_foreign_script(c).alias("foreign"), scripts.has_mixed_word(c).alias("mixed"), scripts.detached_particles(c).alias("particles"), repetition.is_looping(c).alias("looping"),
         repetition.repeats(c).alias("repeats"), patterns.has_bullet_tail(c).alias("bullet"), repetition.copy_share(c, F.lit("one two three")).alias("copied"), repetition.restates(c, F.lit("so one two three one two ends")).alias("restates"),
@@ -40,7 +40,7 @@ def rows(spark):
 def test_norm_hash_grams(rows):
     for r in rows:
         n = norm(r["t"])
-        assert r["norm"] == n and r["norm_any"] == n
+        assert r["norm"] == n
         assert r["sha"] == hashlib.sha256(n.replace(" ", "").encode()).hexdigest()
         assert set(r["grams"]) == grams(n) and len(r["grams"]) == len(grams(n))
         assert set(r["unspaced"]) == grams(n.replace(" ", ""))
