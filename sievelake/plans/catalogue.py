@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_tools, numbers, patterns, repetition, scripts, text
+from ..operators.storage import stored
 from ..operators import backends, cascade, contamination, joins, metrics, near_dup, prompt_writer, ratings, reports, sampling, vocabulary
 from ..sources import jobs, readers, sinks
 
@@ -173,8 +174,7 @@ PAIR_SQL = f"""WITH {DOC_GRAMS},
 
 @query(PAIR_SQL + " SELECT a, b, s / (na + nb - s) AS jaccard FROM o WHERE s / (na + nb - s) > 0.8")
 def train_near_dup_pairs(spark, sf):
-    d = prompts(spark, sf).select("id", text.grams(text.norm(F.col("content"))).alias("grams"))
-    return near_dup.similar_pairs(d)
+    return near_dup.similar_pairs(prompts(spark, sf).select("id", text.norm(F.col("content")).alias("text")))
 
 
 KEPT_SQL = PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -189,8 +189,8 @@ KEPT_SQL = PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 @query(KEPT_SQL)
 def train_near_dup_kept(spark, sf):
     d = prompts(spark, sf).select("seq", text.norm(F.col("content")).alias("n"))
-    d = d.select("seq", text.sha(F.col("n")).alias("h"), text.grams(F.col("n")).alias("grams"))
-    like = near_dup.similar_pairs(d.groupBy("h").agg(F.min_by("grams", "seq").alias("grams")).select(F.col("h").alias("id"), "grams"))
+    d = stored(d.select("seq", text.sha(F.col("n")).alias("h"), "n"), "near_dup_rows")
+    like = near_dup.similar_pairs(d.groupBy("h").agg(F.min_by("n", "seq").alias("text")).select(F.col("h").alias("id"), "text"))
     kept = near_dup.greedy_keep(d.select(F.col("seq").alias("node"), F.lit(True).alias("may_keep")), d.select(F.col("seq").alias("node"), F.col("h").alias("key")), like)
     return kept.select(F.col("node").alias("doc_id"), "kept")
 

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievelake.functions import text
-from sievelake.operators import backends, cascade, contamination, joins, metrics, near_dup, ratings, reports, sampling
+from sievelake.operators import backends, cascade, contamination, joins, metrics, near_dup, prompt_writer, ratings, reports, sampling
 from sievelake.sources import jobs, readers, sinks
 from sievelake.streaming import incremental
 from tests.test_functions import grams, norm
@@ -38,8 +39,112 @@ def test_similar_pairs_equal_brute_force(spark):
     docs = [(r["doc_id"], norm(r["text"])) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     sets = {i: grams(t) for i, t in docs}
     want = {(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) > 0.8}
-    df = spark.createDataFrame(docs, "id bigint, t string").select("id", text.grams(F.col("t")).alias("grams"))
-    assert {(r["a"], r["b"]) for r in near_dup.similar_pairs(df).collect()} == want
+    df = spark.createDataFrame([*docs, (10**6, None)], "id bigint, text string")
+    got = near_dup.similar_pairs(df).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert all(r["jaccard"] == likeness(sets[r["a"]], sets[r["b"]]) for r in got)
+
+
+def test_like_sets_share_a_signature():
+    """Sets of all sizes, as unlike as the threshold allows; with grams of all frequencies."""
+    r = np.random.default_rng(6)
+    counts = r.integers(0, 50, near_dup.SLOTS)
+    for n in [*range(1, 70, 3), 150, 400, 1100]:
+        for _ in range(3):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            gone = int(r.integers(0, n // 5 + 1))
+            keep = r.permutation(a)[gone:]
+            more = int(r.integers(0, max(1, int(keep.size / 0.8) - a.size + 1)))
+            b = np.unique(np.concatenate([keep, r.integers(0, 2**63, more).astype(np.uint64)]))
+            both = np.intersect1d(a, b).size
+            if both / (a.size + b.size - both) > 0.8:
+                x, y = (near_dup.pair_signatures(s, counts, 0.8) for s in (a, b))
+                assert np.intersect1d(x, y).size, n
+
+
+def test_near_hits_equal_brute_force(spark, monkeypatch):
+    """Prompt and content apart, texts in any Unicode form and beyond the basic plane, nulls; also with many blocks."""
+    import unicodedata
+
+    words = ["café", "naïve", "Straße", "the", "river", "ሰላም", "𝔘𝔫𝔦", "bank", "résumé", "no"]
+    draw = random.Random(3)
+    made = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    ev = [(i, f"E{i}", made(draw.randrange(1, 30))) for i in range(40)] + [(40, "E40", ""), (41, "E41", "ab")]
+    docs = [(i, unicodedata.normalize("NFD", t) if i % 2 else t, c) for i, (t, c) in enumerate([(made(draw.randrange(1, 60)), made(draw.randrange(1, 20))) for _ in range(60)])]
+    docs += [(100, None, None), (101, None, ev[3][2]), (102, "ab", None), (103, "", "")]
+    evals = spark.createDataFrame(ev, "eval_index int, eval_id string, prompt string")
+    df = spark.createDataFrame(docs, "id bigint, prompt string, content string")
+    want = {}
+    for i, p, c in docs:
+        for k, name, e in ev:
+            g = grams(norm(e))
+            x, y = (None if t is None else grams(norm(t)) for t in (p, c))
+            j, ce, cc = (0.0, 0.0, 0.0)
+            if x:
+                j, ce = likeness(x, g), len(x & g) / len(g)
+            if y:
+                cc = len(y & g) / len(y)
+            if j > 0.4 or ce > 0.6 or cc > 0.6:
+                want[i] = (k, name, j, ce, cc)
+                break
+    for chars in (contamination.BLOCK_CHARS, 300):
+        monkeypatch.setattr(contamination, "BLOCK_CHARS", chars)
+        got = {r["id"]: (r["eval_index"], r["eval_id"], r["jaccard"], r["eval_in_prompt"], r["content_in_eval"]) for r in contamination.near_hits(df, evals).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_writer_stage(spark, tmp_path):
+    todo = jobs.writer_jobs(spark).filter("i < 4")
+    rows_path, done_path = f"{tmp_path}/rows", f"{tmp_path}/done"
+    prompt_writer.write_prompts(todo, todo.filter("i = 0").select("id"), prompt_writer.StubWriter(), rows_path, done_path)
+    rows = spark.read.json(rows_path).collect()
+    done = {r["id"] for r in readers.read_ids(spark, done_path).collect()}
+    assert done == {f"{t}|{i}" for t in jobs.TARGETS for i in (1, 2, 3)} and len(rows) == 3 * sum(jobs.ITEMS_PER_CALL.values())
+    assert {r["id"].split("#")[0] for r in rows} == done and all(r["prompt"] and r["template_id"] and r["prompt_writer"] == "stub:writer" for r in rows)
+
+    class Odd(prompt_writer.StubWriter):
+        def __call__(self, prompt, temperature, json_mode=False):
+            return {"10": '```json\n[{"question": " a  b "}, 3, {"other": 1}, "x"]\n```', "3": "no list", "8": '{"items": [{"text": "t"}]}'}.get(prompt.split()[1])
+
+    found = prompt_writer.answered(todo, todo.filter("i > 0").select("id"), Odd())
+    assert sorted(r["id"] for r in found.collect()) == ["knowledge|0", "translation|0"]
+    got = {r["id"]: r["content"] for r in prompt_writer.prompt_rows(found, "w").collect()}
+    assert set(got) == {"knowledge|0#0", "translation|0#0"} and got["knowledge|0#0"]["question"] == "a b"
+
+
+def test_json_mode_is_switched_off(spark):
+    class Plain:
+        name = "plain"
+
+        def __call__(self, prompt, temperature, json_mode=False):
+            if json_mode:
+                raise backends.JsonModeRejected
+            return prompt.upper()
+
+    df = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    assert [r["reply"] for r in backends.called(df, Plain(), "p", 0.0, json_mode=True, sleep=lambda s: 1 / 0).collect()] == ["A", "B"]
+
+
+def test_replace_leaves_old_or_new(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/d"
+    sinks.replace(spark.range(3), path, "parquet")
+    os.rename(path, f"{path}.before")  # a crash between the two moves
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    os.mkdir(f"{path}.before")  # a crash before the last deletion
+    sinks.replace(spark.range(5), path, "parquet")
+    assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.before")
+
+
+def test_sizes_and_lengths(spark, tmp_path):
+    sinks.put_text(spark, f"{tmp_path}/f/a.txt", "12345")
+    sinks.put_text(spark, f"{tmp_path}/f/g/b.bin", "123")
+    assert reports.folder_bytes(spark, f"{tmp_path}/f") == 8 and reports.folder_bytes(spark, f"{tmp_path}/f", (".bin",)) == 3
+    df = spark.createDataFrame([("k", "a b", "c"), ("k", "a", None), ("k", "a b c", None), ("l", "x", None)], "task string, prompt string, content string")
+    got = {r["task"]: tuple(r)[1:] for r in reports.length_report(df, "task", {"p": F.col("prompt"), "c": F.col("content")}).select("task", "n", "p_min", "p_median", "p_max", "c_median").collect()}
+    assert got == {"k": (3, 1, 2, 3, 1), "l": (1, 1, 1, 1, None)}
 
 
 BASE = "the quick brown fox jumps over the lazy dog near the river bank every morning"
