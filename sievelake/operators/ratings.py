@@ -21,6 +21,13 @@ def still_open(items: DataFrame, ratings: DataFrame, key: str = "eval_id") -> Da
     return items.join(complete(ratings).select(key), key, "left_anti")
 
 
+def save(ratings: DataFrame, path: str) -> None:
+    """The rating file anew: complete ratings alone, in the order of their ids."""
+    from ..sources.sinks import write_csv
+
+    write_csv(complete(ratings).select("eval_id", *FIELDS).orderBy("eval_id"), path)
+
+
 def by_model(ratings: DataFrame, key: DataFrame, tasks: DataFrame) -> DataFrame:
     """(eval_id, task, fluency_base, fluency_distilled, correct_base, correct_distilled): the blinding undone."""
     rows = ratings.join(key, "eval_id").join(tasks.select("eval_id", "task"), "eval_id")

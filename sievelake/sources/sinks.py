@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +57,37 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small document as one file, in whatever store the path is."""
+    put_bytes(spark, path, text.encode())
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
 
+#: Bytes that a bundle's files have at most together: the driver holds them.
+MOST_BUNDLE_BYTES = 256 << 20
+
+
+def bundle(spark: SparkSession, folder: str, target: str) -> None:
+    """All files under ``folder`` (reports, tables, small models) in one zip file, which must be elsewhere."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    if (files.agg(F.sum("length")).first()[0] or 0) > MOST_BUNDLE_BYTES:
+        raise ValueError(f"{folder} is too large for a bundle")
+    held = io.BytesIO()
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in sorted(files.select("path", "content").collect(), key=lambda r: r["path"]):
+            z.writestr(r["path"].split(base, 1)[1], bytes(r["content"]))
+    put_bytes(spark, target, held.getvalue())
+
+
 def task_name(task: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in TASK_NAMES.items() for x in kv))[task]
 

@@ -138,6 +138,20 @@ def test_replace_leaves_old_or_new(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.before")
 
 
+def test_bundle_and_rating_file(spark, tmp_path):
+    import io
+    import zipfile
+
+    sinks.put_text(spark, f"{tmp_path}/f/a.txt", "12345")
+    sinks.put_text(spark, f"{tmp_path}/f/g/b.txt", "x")
+    sinks.bundle(spark, f"{tmp_path}/f", f"{tmp_path}/out.zip")
+    with zipfile.ZipFile(io.BytesIO(open(f"{tmp_path}/out.zip", "rb").read())) as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"a.txt": b"12345", "g/b.txt": b"x"}
+    given = spark.createDataFrame([("E2", 1, 2, 3, 4), ("E1", 5, 5, 5, 5), ("E3", 1, None, 2, 3)], "eval_id string, fluency_A int, correct_A int, fluency_B int, correct_B int")
+    ratings.save(given, f"{tmp_path}/ratings")
+    assert [r["eval_id"] for r in readers.read_csv(spark, f"{tmp_path}/ratings").collect()] == ["E1", "E2"]
+
+
 def test_sizes_and_lengths(spark, tmp_path):
     sinks.put_text(spark, f"{tmp_path}/f/a.txt", "12345")
     sinks.put_text(spark, f"{tmp_path}/f/g/b.bin", "123")
