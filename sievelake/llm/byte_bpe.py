@@ -29,9 +29,9 @@ NEVER = np.int64(1) << 62
 #: Pre-tokens up to so many bytes are merged together in numpy rows.
 WIDE = 64
 #: So many numpy rows at a time, and so many known pre-tokens, of at most WIDE bytes, in a worker.
-ROWS, KNOWN = 2048, 150_000
+ROWS, KNOWN = 4096, 400_000
 #: Bytes of text, and pre-tokens of one text, that a worker takes at a time: split, a text takes ten times its size.
-SLICE, PIECE = 1 << 20, 200_000
+SLICE, PIECE = 4 << 20, 400_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
