@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_tools, numbers, patterns, repetition, scripts, text
-from ..operators.storage import stored
+from ..operators.storage import shared_path, stored
 from ..operators import backends, cascade, contamination, joins, metrics, near_dup, prompt_writer, ratings, reports, sampling, vocabulary
 from ..sources import jobs, readers, sinks
 
@@ -573,3 +573,75 @@ def written_prompts(spark, sf):
     todo = jobs.writer_jobs(spark)
     found = prompt_writer.answered(todo, todo.filter("i % 5 = 0").select("id"), prompt_writer.StubWriter())
     return prompt_writer.prompt_rows(found, prompt_writer.StubWriter.name).select("id", "task", "prompt_writer")
+
+
+# ---- files: written, read back and held against the tables ---------------------------------------------------------
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def jsonl_round_trip(spark, sf):
+    d, path = table(spark, sf, "documents").select("doc_id", "text", "lang"), shared_path(spark, "jsonl")
+    sinks.replace(d.limit(0), path)
+    sinks.replace(d, path)
+    return readers.read_jsonl(spark, path, d.schema)
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents")
+def csv_round_trip(spark, sf):
+    path = shared_path(spark, "csv")
+    sinks.write_csv(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    return readers.read_csv(spark, path)
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id")
+def appended_rows(spark, sf):
+    path = shared_path(spark, "append")
+    for name in ("documents", "labels"):
+        sinks.append(table(spark, sf, name).select("doc_id"), path)
+    return readers.read_jsonl(spark, path, "doc_id bigint").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY item_id) - 1 AS eval_index, 'E' || lpad(row_number() OVER (ORDER BY item_id)::VARCHAR, greatest(2, length(row_number() OVER (ORDER BY item_id)::VARCHAR))::INT, '0') AS eval_id,
+  trim(text) AS prompt FROM benchmark""")
+def eval_csv_rows(spark, sf):
+    path = shared_path(spark, "eval")
+    sinks.write_csv(table(spark, sf, "benchmark").orderBy("item_id").coalesce(1).select(F.col("text").alias(" Prompt ")), path)
+    return readers.read_eval_csv(spark, path).select("eval_index", "eval_id", "prompt")
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS eval_index, trim(text) AS prompt FROM benchmark")
+def eval_text_rows(spark, sf):
+    path = shared_path(spark, "eval_text")
+    held = table(spark, sf, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("rows"))
+    held.select(F.array_join(F.transform("rows", lambda r: r["text"]), "\n-----\n")).write.text(path)
+    rows = readers.read_eval_text(spark, f"{path}/part-*")
+    return rows.select(F.col("eval_index").cast("bigint").alias("eval_index"), "prompt")
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def id_list_resume(spark, sf):
+    path = shared_path(spark, "ids")
+    table(spark, sf, "labels").select(F.col("doc_id").cast("string")).write.text(path)
+    return joins.not_done(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id")), readers.read_ids(spark, path))
+
+
+@query("SELECT item_id AS eval_id, text, (item_id % 9)::BIGINT AS new_tokens FROM benchmark")
+def nested_results(spark, sf):
+    path = shared_path(spark, "results")
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("eval_id"), "text", (F.col("item_id") % 9).alias("new_tokens"))
+    rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results")))).write.text(path)
+    return readers.read_results(spark, f"{path}/part-*").select("eval_id", "text", "new_tokens")
+
+
+@query(rf"""WITH {PAIRS} SELECT id, 'knowledge' AS task, '' AS direction, prompt, response AS teacher_response, 3 * len({WORDS('response')})::BIGINT AS answer_tokens, 'null' AS judge_scores FROM pairs WHERE conv_id % 5 = 0""")
+def full_table(spark, sf):
+    rows = answer_rows(spark, sf).filter("conv_id % 5 = 0")
+    for c in ("domain", "subtopic", "template_id", "teacher", "prompt_writer"):
+        rows = rows.withColumn(c, F.lit(c))
+    rows = rows.withColumn("prompt_tokens", text.token_estimate(F.col("prompt"))).withColumn("answer_tokens", text.token_estimate(F.col("response")).cast("bigint"))
+    return sinks.full_table(rows).select("id", "task", "direction", "prompt", "teacher_response", "answer_tokens", "judge_scores")
+
+
+@query(f"WITH {PAIRS} SELECT id, prompt, response, '' AS verdict, '' AS remark FROM pairs")
+def review_sheet(spark, sf):
+    return sinks.review_sheet(pairs(spark, sf), ["id", "prompt", "response"], ["verdict", "remark"])

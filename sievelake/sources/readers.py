@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import strip
 from ..operators.storage import numbered
@@ -18,9 +17,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
-    """The first of several paths that exists."""
-    return next((p for p in candidates if path_exists(spark, p)), None)
+def first_existing(spark: SparkSession, candidates: list[str], excludes: tuple[str, ...] = ()) -> str | None:
+    """The first path, by candidate (globs allowed) and then by name, that exists and has none of ``excludes`` in its file name."""
+    for candidate in candidates:
+        p = spark._jvm.org.apache.hadoop.fs.Path(candidate)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        names = sorted(f.getPath().toString() for f in found) if found is not None else []
+        for name in names:
+            if not any(x in name.rsplit("/", 1)[-1] for x in excludes):
+                return name
+    return None
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -100,11 +106,3 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], "id string")
     return spark.read.text(path).select(F.col("value").alias("id")).filter("id <> ''")
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Parquet, ORC or another of Spark's formats."""
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e

@@ -138,6 +138,13 @@ def test_replace_leaves_old_or_new(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.before")
 
 
+def test_first_existing(spark, tmp_path):
+    for name in ("b_eval.csv", "a_eval_predictions.csv", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert readers.first_existing(spark, [f"{tmp_path}/none*", f"{tmp_path}/*eval*.csv"], ("predictions",)).endswith("/b_eval.csv")
+    assert readers.first_existing(spark, [f"{tmp_path}/c.txt"], ("c",)) is None
+
+
 def test_bundle_and_rating_file(spark, tmp_path):
     import io
     import zipfile
