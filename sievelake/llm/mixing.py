@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import NOT_BLANKS, stored, unit_random
+from .shared import NOT_BLANKS, Scratch, stored, unit_random
 
 WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2.0
 
@@ -65,9 +65,10 @@ def mix(
     taken is arbitrary, how many isn't.  A weight that is null, not a number or not above 0 counts as 0: such a row is sampled
     last.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
+    scratch = Scratch(df.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_BLANKS)), F.lit(0)).cast("bigint")
     weight = F.log1p(size.cast("double")) if weight_col is None else F.nanvl(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    docs = stored(
+    docs = scratch(
         df.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
@@ -79,12 +80,12 @@ def mix(
         "mix_docs",
     )
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sizes = stored(sizes, "mix_sizes")
+    sizes = scratch(sizes, "mix_sizes")
     plan = sizes.join(source_targets(sizes, weights, share, most_copies).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("certain", F.floor(ratio + F.lit(1e-12)).cast("bigint"))
     plan = plan.withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
-    plan = stored(plan.withColumn("f", F.when(F.col("source_size") > 0, F.col("wanted") / F.col("source_size")).otherwise(0.0)), "mix_plan")
+    plan = scratch(plan.withColumn("f", F.when(F.col("source_size") > 0, F.col("wanted") / F.col("source_size")).otherwise(0.0)), "mix_plan")
 
     def beside(other: DataFrame, rows: DataFrame) -> DataFrame:
         """Rows with what ``other`` has for their source. Other is one row a source: Spark broadcasts it if its size allows."""
@@ -97,12 +98,12 @@ def mix(
         whole = (F.col("weight") > 0) & (F.col("factor") * F.col("weight") >= 1)
         now = now.groupBy("source").agg(F.sum(F.when(whole, F.col("size")).otherwise(0)).alias("whole"), F.sum(F.when(whole, 0.0).otherwise(F.col("size") * F.col("weight"))).alias("rest"), F.count_if(whole).alias("n_whole"))
         now = beside(now, plan.select("source", "wanted")).withColumn("left", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
-        factors = stored(now.select("source", F.when(F.col("rest") > 0, F.col("left") / F.col("rest")).otherwise(F.when(F.col("left") > 0, F.lit(float("inf"))).otherwise(0.0)).alias("factor"), "whole", "n_whole"), "mix_factors")
+        factors = scratch(now.select("source", F.when(F.col("rest") > 0, F.col("left") / F.col("rest")).otherwise(F.when(F.col("left") > 0, F.lit(float("inf"))).otherwise(0.0)).alias("factor"), "whole", "n_whole"), "mix_factors")
         reached = factors.agg(F.coalesce(F.sum("n_whole"), F.lit(0))).first()[0]
         if reached == held:
             break
         held, factors = reached, factors.select("source", "factor")
-    plan = stored(beside(factors.drop("n_whole"), plan), "mix_plan")
+    plan = scratch(beside(factors.drop("n_whole"), plan), "mix_plan")
 
     share_of = F.when(F.col("weight") > 0, F.col("factor") * F.col("weight")).otherwise(0.0)
     inclusion = F.least(F.greatest(share_of, F.lit(1e-9)), F.lit(1 - 1e-9))
@@ -130,7 +131,7 @@ def mix(
         fits = F.col("sum") <= F.col("gap")
         # The first that doesn't fit ends the round: the next one is behind it.  Without one the source is done.
         ends = inside.groupBy("source").agg(F.min(F.when(~fits, key)).alias("stop"), F.coalesce(F.max(F.when(fits, F.col("sum"))), F.first("before")).alias("sum"))
-        ends = stored(ends, "mix_cut")
+        ends = scratch(ends, "mix_cut")
         if ends.isEmpty():
             break
         last = F.coalesce("stop", F.struct(F.lit(float("inf")).alias("rank"), F.lit(0).cast("bigint").alias("row")))
@@ -142,14 +143,14 @@ def mix(
             F.when(F.col("sum").isNull(), F.col("last")).otherwise(last).alias("last"),
             F.when(F.col("sum").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(round_))).alias("rounds"),
         )
-        state = stored(state, "mix_state")
+        state = scratch(state, "mix_state")
     # The document at the cut is the one that didn't fit.
     within = lambda r: (r["start"].isNull() | (key > r["start"])) & (key < r["cut"]) & (F.col("size") <= r["most"])
     chosen = (F.col("size") > 0) & (first | ((F.col("rank") > 0) & F.exists("rounds", within)))
     state = state.select("source", "rounds")
     copies = F.col("certain") + chosen.cast("bigint")
     copies = F.when(F.col("f") > 0, copies).otherwise(F.col("certain"))
-    return beside(state, ranked).select(
+    out = beside(state, ranked).select(
         F.col("id").alias(id_col),
         "size",
         F.col("source_size").cast("bigint").alias("source_size"),
@@ -157,3 +158,6 @@ def mix(
         (copies * F.col("size")).alias("taken"),
         copies.alias("copies"),
     )
+    out = stored(out, "mix")
+    scratch.drop()
+    return out
