@@ -51,10 +51,23 @@ def test_query(spark, duck, name):
         assert got == sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in out.fetchall()), key=repr)
 
 
-def test_imports_without_the_optional_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_imports_without_the_optional_subpackage(tmp_path, pipeline):
+    """Without the folder, and with or without the pipeline that needs it."""
     import shutil
 
     shutil.copytree(ROOT / "sievelake", tmp_path / "sievelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)  # the pipeline goes with the folders, too
+    for name in ["__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (ROOT / "corpus_pipeline.py").exists() else [])]:
+        shutil.copy(ROOT / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_errors_inside_optional_modules_show(tmp_path):
+    import shutil
+
+    shutil.copytree(ROOT / "sievelake", tmp_path / "sievelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_at_all")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode != 0 and "no_such_module_at_all" in done.stderr
