@@ -28,19 +28,23 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables whose texts are worked on.
+TEXTS = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out for heavy work on texts: small files come in fewer partitions than there are cores."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    """Rows dealt out for heavy work on texts: small files come in fewer partitions than there are cores, and a file of one row group in one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.col("lang").alias("task"), "source", F.col("text").alias("prompt"), F.col("text").alias("content"))
 
 
@@ -98,7 +102,7 @@ def word_counts(spark, sf):
 
 @query(f"SELECT doc_id, len({GRAMS('n')})::BIGINT AS n_grams, len({GRAMS('u')})::BIGINT AS n_unspaced FROM (SELECT doc_id, n, replace(n, ' ', '') AS u FROM (SELECT doc_id, {NORM('text')} AS n FROM documents))")
 def char_ngrams_size(spark, sf):
-    d = spread(table(spark, sf, "documents")).select("doc_id", text.norm(F.col("text")).alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", text.norm(F.col("text")).alias("n"))
     return d.select("doc_id", F.size(text.grams(F.col("n"))).cast("bigint").alias("n_grams"), F.size(text.grams_unspaced(F.col("n"))).cast("bigint").alias("n_unspaced"))
 
 
@@ -128,10 +132,10 @@ def leak_patterns(spark, sf):
 
 @query(rf"""SELECT doc_id, regexp_replace(text, '[ \t\xa0]{{2,}}', ' ', 'g') AS cleaned, regexp_replace(source, '[^A-Za-z0-9._-]+', '_', 'g') AS tag,
   CASE WHEN length(replace(text, chr(10), ' ⏎ ')) > 300 THEN substr(replace(text, chr(10), ' ⏎ '), 1, 300) || '...' ELSE replace(text, chr(10), ' ⏎ ') END AS clipped,
-  coalesce(try_cast(substr(text, 1, 1) AS DOUBLE), 0.0) AS number FROM documents""")
+  coalesce(try_cast(regexp_extract(text, '[0-9]{{1,9}}') AS DOUBLE), 0.0) AS number FROM documents""")
 def text_tools(spark, sf):
     c = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", text.clean_spaces(c).alias("cleaned"), text.tag(F.col("source")).alias("tag"), text.clip(c).alias("clipped"), text.to_number(F.substring(c, 1, 1)).alias("number"))
+    return table(spark, sf, "documents").select("doc_id", text.clean_spaces(c).alias("cleaned"), text.tag(F.col("source")).alias("tag"), text.clip(c).alias("clipped"), text.to_number(F.regexp_extract(c, "[0-9]{1,9}", 0)).alias("number"))
 
 
 # ---- contamination ---------------------------------------------------------------------------------------------
@@ -289,14 +293,14 @@ BARE = r"""v AS (SELECT doc_id, w FROM (SELECT doc_id, trim(unnest(string_split_
 
 @query(f"WITH {BARE} SELECT w AS word, n FROM c ORDER BY n DESC, w LIMIT 100")
 def vocab_topk(spark, sf):
-    return vocabulary.word_counts(spread(table(spark, sf, "documents"))).orderBy(F.desc("n"), "word").limit(100)
+    return vocabulary.word_counts(table(spark, sf, "documents")).orderBy(F.desc("n"), "word").limit(100)
 
 
 @query(f"""WITH {BARE}, k AS (SELECT w, unnest(range(2, length(w) - 1)) AS k FROM c WHERE n <= 1 AND length(w) >= 5 AND regexp_matches(w, '\\p{{L}}')),
   g AS (SELECT DISTINCT k.w FROM k JOIN c a ON a.w = substr(k.w, 1, k.k) AND a.n >= 5 JOIN c b ON b.w = substr(k.w, k.k + 1) AND b.n >= 5)
   SELECT DISTINCT doc_id AS id FROM v JOIN g USING (w)""")
 def glued_words(spark, sf):
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     return vocabulary.rows_with_glued_words(d.select(F.col("doc_id").alias("id"), "text"), vocabulary.word_counts(d), r"\p{L}")
 
 
@@ -527,9 +531,9 @@ def file_order_numbers(spark, sf):
     return readers.numbered(d, "row_number")
 
 
-@query()
+@query("""SELECT conv_id, turn, '[{"conv_id": ' || conv_id || ', "role": ' || to_json(role) || ', "text": ' || to_json(text) || ', "turn": ' || turn || '}]' AS parsed FROM conversations""")
 def parse_json_tolerant(spark, sf):
-    wrapped = F.concat(F.lit("Here you are:\n```json\n["), F.to_json(F.struct("conv_id", "turn", "role")), F.lit("]\n```"))
+    wrapped = F.concat(F.lit("Here you are:\n```json\n["), F.to_json(F.struct("conv_id", "turn", "role", "text")), F.lit("]\n```"))
     return table(spark, sf, "conversations").select("conv_id", "turn", json_tools.parse_tolerant(wrapped).alias("parsed"))
 
 
@@ -540,16 +544,16 @@ def judged_answers(spark, sf):
     return backends.judged(rows, done, backends.StubBackend(), "body", ("fluency", "accuracy", "task"), backends.ANSWER_BATCH).select("id", "batch_id", "i", "fluency", "accuracy", "task", "judge")
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT id, 'answer ' || substr(md5(prompt), 1, 8) AS response, 'stub:echo' AS teacher FROM pairs WHERE (conv_id * 1000 + turn) % 5 <> 0")
 def stub_answers(spark, sf):
     p = pairs(spark, sf).withColumn("seq", F.col("conv_id") * 1000 + F.col("turn")).withColumn("task", (F.col("conv_id") % 4).cast("string")).select("seq", "id", "task", "prompt")
     return backends.answers(p, p.filter("seq % 5 = 0").select("id"), backends.StubBackend()).select("id", "response", "teacher")
 
 
-@query("SELECT word, count(*) AS n FROM (SELECT trim(unnest(string_split_regex(text, '\\s+')), '.,;:!?()\"''«»፡።፣፤፥፦፧') AS word FROM (SELECT text FROM conversations WHERE role <> 'system' UNION ALL SELECT text FROM benchmark)) WHERE word <> '' GROUP BY word HAVING count(*) >= 50")
+@query("SELECT word, count(*) AS n FROM (SELECT trim(unnest(string_split_regex(text, '\\s+')), '.,;:!?()\"''«»፡።፣፤፥፦፧') AS word FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)) WHERE word <> '' GROUP BY word")
 def union_vocab(spark, sf):
-    both = table(spark, sf, "conversations").filter("role <> 'system'").select("text").union(table(spark, sf, "benchmark").select("text"))
-    return vocabulary.word_counts(both).filter("n >= 50")
+    both = table(spark, sf, "conversations").select("text").union(table(spark, sf, "benchmark").select("text"))
+    return vocabulary.word_counts(both)
 
 
 # ---- reports and the writer stage ---------------------------------------------------------------------------------
