@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, byte_bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, token_files
-from .shared import shared_dir
+from .shared import shared_dir, spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -20,7 +20,7 @@ def query(f):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 @query

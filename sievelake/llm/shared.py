@@ -146,6 +146,12 @@ def id_bounds(df: DataFrame, key: str, parts: int) -> list:
     return sorted(set(row["cuts"] or []))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a small input comes in fewer partitions than there are; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
