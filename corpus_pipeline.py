@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import byte_bpe, langid, line_dedup, mixing, ngram_join
-from sievelake.llm.shared import Scratch, stored, unused
+from sievelake.llm.shared import Scratch, spread, stored, unused
 
 #: A text is in no known language if its cosine with every language's prototype is below LIKENESS times the square root of the number
 #: of its distinct trigrams, or below MOST_LIKENESS where that is more.  So grows the cosine of clean texts, which share each trigram
@@ -91,7 +91,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of ``documents`` after all stages; a stage's table is deleted once its successor's is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         held = Scratch(spark, f"stage_{name}")
         docs = held(stage(spark, docs, sf_dir), "documents")
