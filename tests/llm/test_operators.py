@@ -344,7 +344,7 @@ def test_langid_by_brute_force(small, docs):
     """Prototypes and predictions from single trigrams, one text at a time; with a tie and a language of one text."""
     dims, held = 128, {}
     spark = small.sparkSession
-    made = [(r["doc_id"], r["text"], r["lang"]) for r in rows(small.limit(70))] + [(r["doc_id"], r["text"], r["lang"]) for r in rows(docs.select("doc_id", "text", "lang"))]
+    made = [(10_000 + r["doc_id"], r["text"], r["lang"]) for r in rows(small.limit(70))] + [(r["doc_id"], r["text"], r["lang"]) for r in rows(docs.select("doc_id", "text", "lang"))]
     made += [(5000, "qqq zzz", "b"), (5001, "qqq zzz", "a"), (5002, "qqq zzz", None), (5003, None, "c"), (5004, "12 !", "d")]
     df = spark.createDataFrame(made, "doc_id bigint, text string, lang string").repartition(3)
 
