@@ -519,7 +519,19 @@ def writer_jobs(spark, sf):
     return out.select("id", "task", F.col("n").cast("bigint").alias("n"), F.col("i").cast("bigint").alias("i"), (F.array_position(F.array(*map(F.lit, topics)), F.col("sub")) - 1).alias("topic"), F.col("band").cast("bigint").alias("band"), "direction")
 
 
-@query()
+def SQL_LIST(texts: list[str]) -> str:
+    quoted = [t.replace("'", "''") for t in texts]
+    return "['" + "', '".join(quoted) + "']"
+
+
+def COIN(label: str) -> str:
+    return f"(('0x' || substr(md5('{jobs.SEED}-{label}-' || id), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(rf"""WITH {PAIRS}, c AS (SELECT id, regexp_replace(regexp_replace(response, '^\s+|\s+$', '', 'g'), '[ \t\xa0]{{2,}}', ' ', 'g') AS p, regexp_replace(regexp_replace(prompt, '^\s+|\s+$', '', 'g'), '[ \t\xa0]{{2,}}', ' ', 'g') AS q FROM pairs),
+  d AS (SELECT *, {COIN('layout')} < {jobs.CONTEXT_SHARE['comprehension']} AS ctx, floor({COIN('wording')} * {len(jobs.INSTRUCTIONS['comprehension'])})::INT AS ki, floor({COIN('wording')} * {len(jobs.LAYOUTS['comprehension'])})::INT AS kl FROM c WHERE p <> '' AND q <> '')
+  SELECT id, CASE WHEN ctx THEN {SQL_LIST(jobs.INSTRUCTIONS['comprehension'])}[ki + 1] || chr(10) || chr(10) || 'Context:' || chr(10) || p || chr(10) || chr(10) || q
+    ELSE replace(replace({SQL_LIST(jobs.LAYOUTS['comprehension'])}[kl + 1], '{{q}}', q), '{{p}}', p) END AS prompt, 'comprehension-' || CASE WHEN ctx THEN 'ctx' || ki ELSE kl::VARCHAR END AS template_id FROM d""")
 def rendered_prompts(spark, sf):
     rows = pairs(spark, sf).select("id", F.lit("comprehension").alias("task"), F.lit(None).cast("string").alias("direction"), F.struct(F.col("response").alias("passage"), F.col("prompt").alias("question"), F.lit(None).cast("string").alias("text")).alias("content"))
     return jobs.rendered(jobs.usable_content(rows, {"comprehension": ("passage", "question")})).select("id", "prompt", "template_id")
@@ -537,7 +549,8 @@ def parse_json_tolerant(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", json_tools.parse_tolerant(wrapped).alias("parsed"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, r AS (SELECT id, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS k FROM pairs WHERE (conv_id * 1000 + turn) % 7 <> 0)
+  SELECT id, k // {backends.ANSWER_BATCH} AS batch_id, (k % {backends.ANSWER_BATCH})::INT AS i, 4.0::DOUBLE AS fluency, 5.0::DOUBLE AS accuracy, 5.0::DOUBLE AS task, 'stub:echo' AS judge FROM r""")
 def judged_answers(spark, sf):
     rows = pairs(spark, sf).withColumn("seq", F.col("conv_id") * 1000 + F.col("turn")).withColumn("body", F.concat(F.lit("PROMPT: "), "prompt", F.lit("\nRESPONSE: "), "response")).select("seq", "id", "body")
     done = rows.filter("seq % 7 = 0").select("id")
