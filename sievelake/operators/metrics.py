@@ -116,7 +116,7 @@ def chrf(df: DataFrame, keys: tuple[str, ...], hypothesis: str = "text", referen
             starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
             return let(ws, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
-        kinds = [marked(F.regexp_extract_all(chars, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), n) for n in range(1, CHAR_ORDER + 1)]
+        kinds = [marked(F.regexp_extract_all(chars, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), n) for n in range(1, CHAR_ORDER + 1)]
         kinds += [marked(runs(n), CHAR_ORDER + n) for n in range(1, WORD_ORDER + 1)]
         rows = df.select(*keys, "id", F.explode(F.concat(*kinds)).alias("x"))
         return rows.groupBy(*keys, "id", F.col("x.o").alias("o"), F.col("x.g").alias("g")).agg(F.count("*").alias(side))
