@@ -215,7 +215,10 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ("ids",)) -> DataFrame:
     """One row a document, from the files: ``id_col``, ``start`` (ids of all documents before it), ``n_tokens``,
-    and of ``ids`` (binary, little-endian unsigned 32-bit) and ``ids_crc32`` those in ``keep``."""
+    and of ``ids`` (binary, little-endian unsigned 32-bit) and ``ids_crc32`` those in ``keep``.
+
+    Rows that were written repeatedly come back as often, null ids as null; files of an empty table give no row.
+    """
     table = spark.read.parquet(path)
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
     kinds = {"ids": "binary", "ids_crc32": "bigint"}
