@@ -3,6 +3,9 @@
 Each stage takes what its predecessor kept, as a table with the columns of ``documents``, and returns what it keeps;
 the last returns the tokens.  ``run`` writes every stage's result into the shared folder before the next reads it, so no
 stage is computed twice and a lost executor costs only the tasks of the stage at hand.
+
+Every stage takes empty tables (and gives one), nulls in any column, repeated rows and further columns of any name, which stay as
+they are.  A null text goes in the first stage; later ones, given one, leave it as it is, and it has no tokens.
 """
 
 from __future__ import annotations
