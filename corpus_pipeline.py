@@ -5,7 +5,8 @@ the last returns the tokens.  ``run`` writes every stage's result into the share
 stage is computed twice and a lost executor costs only the tasks of the stage at hand.
 
 Every stage takes empty tables (and gives one), nulls in any column, repeated rows and further columns of any name, which stay as
-they are.  A null text goes in the first stage; later ones, given one, leave it as it is, and it has no tokens.
+they are.  A null text goes in the first stage; given one, line dedup and the join leave it as it is, the mix takes it as one of no words
+(as often as its source is certain), and it has no tokens.
 """
 
 from __future__ import annotations
