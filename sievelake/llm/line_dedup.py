@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_BLANKS, let, spread_join, stored, unused, whole
+from .shared import NOT_BLANKS, Scratch, let, spread_join, stored, unused, whole
 
 #: Ends fall where ``(hash + FACTOR * hash of the line before) % EVERY`` is 0: a chunk has EVERY lines on average.
 FACTOR, EVERY, MIN_LINES = 31, 3, 2
@@ -118,26 +118,41 @@ def windows(text: Column, least_words: int = LEAST_WORDS) -> Column:
     return let(F.filter(counted, lambda x: x["words"] > 0), runs)
 
 
-def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, among: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` without the passages of whole lines, one or more, that have at least ``least_words`` words
     and stand earlier: in a row with a smaller id (an integer; null last), or before in the same text and apart.
 
     Lines that aren't blank make a passage even if blank lines are between them; blank lines stay.  Each line that is
     taken out stands where it occurs first.  Null texts stay null, and a text may become empty.
+
+    ``among``: one column of ids, each of one row of ``df`` and not null; then only these rows count and come back, as if ``df`` had
+    no others, but its texts go through one shuffle, not several.
     """
     key, gone_col = unused(df, "__key"), unused(df, "__gone")
-    held = df.withColumn(key, row_key(id_col, text_col))
-    cut = held.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), F.explode(windows(F.col(text_col), least_words)).alias("__w")).select("__key", "__id", "__w.*")
+    held = df.withColumn(key, row_key(id_col, text_col) if among is None else F.col(id_col))
+    # Texts become digests where they are read, before the join, so that it shuffles no text.
+    cut = held.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), windows(F.col(text_col), least_words).alias("__w"))
+    if among is not None:
+        among = among.toDF("__key")
+        cut = cut.join(among, "__key")
+    scratch = Scratch(df.sparkSession, "passages")
+    # The outer form, because Spark would move the filter for empty arrays that it gives the other to the texts, and make all runs again for it.
+    cut = cut.select("__key", "__id", F.explode_outer("__w").alias("__w")).select("__key", "__id", "__w.*")
+    cut = scratch(cut.filter("digest IS NOT NULL"), "runs")
     order = (F.coalesce(F.col("__id").cast("decimal(20,0)"), whole(2**63)) * whole(2**31) + F.col("start").cast("decimal(10,0)")).cast("decimal(38,0)")
     cut = cut.select("__key", "at", "digest", order.alias("order"))
     groups = cut.groupBy("digest").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.count("*").alias("rows"))
-    table = stored(groups.filter("first < last").select("digest", "first", "rows"), "passages")
+    table = scratch(groups.filter("first < last").select("digest", "first", "rows"), "repeated")
     # A run that overlaps its first occurrence in the same text would take a part of that.
     gone = spread_join(cut, table, "digest", "rows", F.col("__key")).filter(F.col("order") - F.col("first") >= F.size("at")).select("__key", F.explode("at").alias("at"))
-    gone = gone.groupBy("__key").agg(F.collect_set("at").alias(gone_col)).withColumnRenamed("__key", key)
+    gone = stored(gone.groupBy("__key").agg(F.collect_set("at").alias(gone_col)), "passages")
+    scratch.drop()
+    if among is not None:
+        gone = among.join(gone, "__key", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = let(lines, lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone_col)), lambda i: F.get(own, i)), "\n"))
-    return held.join(gone, key, "left").withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(left)).drop(key, gone_col)
+    out = held.join(gone.withColumnRenamed("__key", key), key, "left" if among is None else "inner")
+    return out.withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(left)).drop(key, gone_col)
 
 
 ORACLE_SQL = f"""

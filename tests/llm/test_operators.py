@@ -485,6 +485,19 @@ def test_drop_passages_finds_all_runs(spark, monkeypatch, least, hot):
     assert got == want and got != dict(made)
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_drop_passages_among_some_rows(spark, monkeypatch, hot):
+    """The others neither come back nor hold a first occurrence."""
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    r = np.random.default_rng(12)
+    made = [(i, "\n".join(f"p{k} " * (k + 3) if k < 5 else f"only {i}" for k in r.integers(0, 7, 9))) for i in range(25)]
+    some = [x for x in made if x[0] % 3]
+    df, ids = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame([x[:1] for x in some], "own bigint")
+    got = {x["doc_id"]: x["text"] for x in rows(line_dedup.drop_passages(df, least_words=5, among=ids))}
+    whole = brute_passages(made, 5)
+    assert got == brute_passages(some, 5) and got != {i: whole[i] for i, _ in some}
+
+
 def test_byte_bpe(docs, small, empty):
     import tiktoken
 

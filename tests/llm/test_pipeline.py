@@ -96,6 +96,29 @@ def test_one_line_passages_stay_once(spark):
     assert all(r["n_chars"] == len(r["text"]) and r["text"].count("\n") == (5 if r["doc_id"] == 1 else 4) for r in out)
 
 
+def test_passages_are_found_without_shuffling_texts(spark):
+    """Whole texts go through a shuffle twice in the stage of the join: as its result is made, and packed, as it verifies."""
+    draw = np.random.default_rng(0)
+    made = [(i, "\n".join(" ".join(draw.bytes(40).hex() for _ in range(25)) for _ in range(4)), "en", "z", 1) for i in range(800)]
+    made += [(1000 + i, made[i][1] + " near", "en", "z", 1) for i in range(40)]
+    docs = stored(spark.createDataFrame(made, spark.read.parquet(f"{SF}/documents.parquet").schema).repartition(4), "test_texts")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        start = written()
+        out = stored(dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF), "test_joined")
+        moved = written() - start
+        start = written()
+        docs.repartition(4, "doc_id").write.format("noop").mode("overwrite").save()
+        once = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(r["doc_id"] for r in rows(out)) == list(range(800))
+    assert once > 0 and moved < 3 * once
+
+
 def test_near_copies_are_those_of_five_words(spark):
     words = [f"n{k}" for k in range(124)]
     made = [words, words[:60] + ["changed"] + words[61:]]
