@@ -41,7 +41,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty where nothing stands; fields may hold quotes (doubled) and line ends; a byte order mark is dropped."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", "").option("emptyValue", "").csv(path)
     first = df.columns[0]
     df = df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))

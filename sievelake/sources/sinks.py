@@ -52,7 +52,8 @@ def append(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    replace(df, path, "csv", header=True, escape='"', emptyValue="", nullValue="")
+    """Fields keep white space and control characters at their ends, which Spark's writer would trim."""
+    replace(df, path, "csv", header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:

@@ -364,3 +364,12 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(f"{p}/kept").count() == 2 and spark.read.parquet(f"{p}/dropped").count() == 1
     incremental.append_filtered(stream, [("empty", F.lit(False))], f"{p}/kept", f"{p}/dropped", f"{p}/cp").awaitTermination(120)
     assert spark.read.parquet(f"{p}/kept").count() == 2
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    """White space and control characters at the ends, line ends, quotes, backslashes, NUL, empty and null."""
+    odd = [" a", "a ", "\ta\t", "\n", "\r", "a\r\nb", "a\rb", "\na", "a\n", " ", " a", "\0", "\0a", "a\0", "\x1fa", '"', '""', 'a"', '"a,b\nc', "\\", 'a\\"b', "a,b", "#a", "", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "n int, t string").select(F.col("n").cast("string").alias("n"), "t", F.col("t").alias("again"))
+    sinks.write_csv(df, f"{tmp_path}/odd")
+    got = {int(r["n"]): (r["t"], r["again"]) for r in readers.read_csv(spark, f"{tmp_path}/odd").collect()}
+    assert got == {i: (t or "", t or "") for i, t in enumerate(odd)}
