@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.repetition import copy_share, is_looping, repeats
 from ..functions.scripts import script_fits
-from ..functions.text import let, strip, word_count
+from ..functions.text import strip, word_count
 
 # Fixed value: the longest generation, in tokens.
 MOST_NEW_TOKENS = 256
@@ -97,33 +103,61 @@ def _pieces(ws: Column) -> Column:
     return F.flatten(F.transform(ws, cut))
 
 
-def chrf(df: DataFrame, keys: tuple[str, ...], hypothesis: str = "text", reference: str = "teacher") -> DataFrame:
-    """Corpus chrF++ (0 to 100) per group: character n-grams of order 1 to 6 without white space, word n-grams of order 1
-    and 2, F-score with beta 2, averaged over the orders that both sides have.
+#: Rows whose n-grams are counted together.
+CHRF_ROWS = 256
 
-    Each text's n-grams are counted, matches are the smaller of both counts, and all is summed by group and order before
-    the score; rows need an ``id``.
-    """
 
-    def grams(column: str, side: str) -> DataFrame:
-        chars = F.regexp_replace(F.col(column), r"(?U)\s", "")
-        ws = _pieces(F.filter(F.split(F.col(column), r"(?U)\s+"), lambda w: w != ""))
+def ngram_matches(units: list[np.ndarray], sizes: list[np.ndarray], orders: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, by row: n-grams of the first side, of the second, and the sum of the smaller counts.
 
-        def marked(found: Column, order: int) -> Column:
-            return F.transform(found, lambda g: F.struct(F.lit(order).alias("o"), g.alias("g")))
+    ``units``: whole numbers of all rows' texts, one behind the other, for both sides; ``sizes``: how many of them each row has.
+    N-grams of a row are numbered: that of order n is the number of the one before it and its last unit, so nothing is hashed.
+    """
+    rows, split = sizes[0].size, units[0].size
+    row = np.concatenate([np.repeat(np.arange(rows), s) for s in sizes])
+    left = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+    left = np.concatenate([np.repeat(s, s) for s in sizes]) - left  # units from here to the text's end
+    unit, last = np.unique(np.concatenate(units), return_inverse=True)
+    place, ids, of = np.arange(row.size), row, None
+    for n in range(1, orders + 1):
+        stays = left[place] >= n
+        place, ids = place[stays], ids[stays]
+        found, ids = np.unique(ids.astype(np.int64) * max(1, unit.size) + last[place + n - 1], return_inverse=True)
+        of = np.zeros(found.size, dtype=np.int64)
+        of[ids] = row[place]
+        first = place < split
+        h, r = np.bincount(ids[first], minlength=found.size), np.bincount(ids[~first], minlength=found.size)
+        yield tuple(np.bincount(of, x, rows).astype(np.int64) for x in (h, r, np.minimum(h, r)))
 
-        def runs(n: int) -> Column:
-            starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-            return let(ws, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
-        kinds = [marked(F.regexp_extract_all(chars, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), n) for n in range(1, CHAR_ORDER + 1)]
-        kinds += [marked(runs(n), CHAR_ORDER + n) for n in range(1, WORD_ORDER + 1)]
-        rows = df.select(*keys, "id", F.explode(F.concat(*kinds)).alias("x"))
-        return rows.groupBy(*keys, "id", F.col("x.o").alias("o"), F.col("x.g").alias("g")).agg(F.count("*").alias(side))
+def chrf(df: DataFrame, keys: tuple[str, ...], hypothesis: str = "text", reference: str = "teacher") -> DataFrame:
+    """Corpus chrF++ (0 to 100) per group: character n-grams of order 1 to 6 without white space, word n-grams of order 1
+    and 2, F-score with beta 2, averaged over the orders that both sides have.
 
-    on = [*keys, "id", "o", "g"]
-    both = grams(hypothesis, "h").join(grams(reference, "r"), on, "full")
-    sums = both.groupBy(*keys, "o").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("h", "r")), F.sum(F.least(F.coalesce("h", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("m"))
+    Each text's n-grams are counted, matches are the smaller of both counts, and all is summed by group and order before
+    the score.  The counts are made where rows are read (Arrow batches); a row leaves as three numbers an order.
+    """
+    side = lambda c: (F.regexp_replace(F.col(c), r"(?U)\s", ""), _pieces(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")))
+    (hc, hw), (rc, rw) = side(hypothesis), side(reference)
+    rows = df.select(*keys, hc.alias("__hc"), rc.alias("__rc"), hw.alias("__hw"), rw.alias("__rw"))
+    kinds = StructType([rows.schema[k] for k in keys] + [StructField(c, ArrayType(LongType())) for c in "hrm"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHRF_ROWS):
+                part = batch.slice(start, CHRF_ROWS)
+                hc, rc, hw, rw = (part.column(len(keys) + i) for i in range(4))
+                chars = [np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4") for texts in (hc.fill_null("").to_pylist(), rc.fill_null("").to_pylist())]
+                sizes = [pc.fill_null(pc.utf8_length(c), 0).to_numpy(zero_copy_only=False) for c in (hc, rc)]
+                found = [*ngram_matches(chars, sizes, CHAR_ORDER)]
+                words = pa.concat_arrays([hw.flatten(), rw.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in (hw, rw)]
+                found += ngram_matches(np.split(words, [int(sizes[0].sum())]), sizes, WORD_ORDER)
+                lists = [pa.ListArray.from_arrays(np.arange(0, part.num_rows * len(found) + 1, len(found), dtype=np.int32), np.stack([f[i] for f in found], axis=1).ravel()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *lists], names=[*keys, *"hrm"])
+
+    each = rows.mapInArrow(count, kinds).select(*keys, F.posexplode(F.arrays_zip("h", "r", "m")).alias("o", "x")).filter("x.h > 0 or x.r > 0")
+    sums = each.groupBy(*keys, "o").agg(*(F.sum(f"x.{c}").alias(c) for c in "hrm"))
     precision, recall = F.col("m") / F.col("h"), F.col("m") / F.col("r")
     low = BETA**2 * precision + recall
     score = F.when((F.col("h") > 0) & (F.col("r") > 0), F.when(low > 0, (1 + BETA**2) * precision * recall / low).otherwise(0.0))
