@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import ETHIOPIC
-from ..functions.text import bare_words
+from ..functions.text import EDGE_SIGNS, SPACE, bare_words
+from .storage import stored
+
+
+def _counted(df: DataFrame, text: str, *first: Column) -> DataFrame:
+    """(word, n, and aggregates ``first``): words are counted as they stand, then without punctuation at their ends, empty ones left out."""
+    raw = df.withColumn("__w", F.explode(F.split(F.col(text), SPACE))).groupBy("__w").agg(F.count("*").alias("n"), *first)
+    return raw.withColumn("word", F.btrim("__w", F.lit(EDGE_SIGNS))).filter("word <> ''")
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts; words without punctuation at their ends, empty ones left out."""
-    return df.select(F.explode(bare_words(F.col(text))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return _counted(df, text).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def own_glued_rows(df: DataFrame, gate: str = f"[{ETHIOPIC}]") -> DataFrame:
+    """Ids of rows (id, text) that have a word glued by the counts of these same rows.
+
+    A glued word occurs once, so its row comes with its count and the texts are read once.
+    """
+    counts = _counted(df, "text", F.min("id").alias("id")).groupBy("word").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    counts = stored(counts, "word_counts")
+    return counts.join(glued_words(counts.select("word", "n"), gate), "word", "left_semi").select("id").distinct()
 
 
 def glued_words(counts: DataFrame, gate: str = f"[{ETHIOPIC}]", least_part: int = 2, most_whole: int = 1, part_count: int = 5) -> DataFrame:
