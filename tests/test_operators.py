@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text
 from sievelake.operators import backends, cascade, contamination, joins, metrics, near_dup, prompt_writer, ratings, reports, sampling
+from sievelake.plans import catalogue
 from sievelake.sources import jobs, readers, sinks
 from sievelake.streaming import incremental
 from tests.test_functions import grams, norm
@@ -373,3 +374,42 @@ def test_csv_keeps_every_text(spark, tmp_path):
     sinks.write_csv(df, f"{tmp_path}/odd")
     got = {int(r["n"]): (r["t"], r["again"]) for r in readers.read_csv(spark, f"{tmp_path}/odd").collect()}
     assert got == {i: (t or "", t or "") for i, t in enumerate(odd)}
+
+
+def test_bitmaps_tell_long_texts_apart():
+    """Sets of many thousands of grams, far more than the least bitmap has bits; like ones are found in and across blocks."""
+    draw = np.random.default_rng(7)
+    sets = [np.unique(draw.integers(0, 1 << 40, size)).astype(np.uint64) for size in (3000, 6000, 6500, 7000, 9000, 9200)]
+    sets.append(np.sort(np.append(sets[3][300:], np.arange(300, dtype=np.uint64) * np.uint64(977))))  # like the fourth
+    sets.sort(key=len)
+    n = np.array([s.size for s in sets])
+    held = [np.frombuffer(near_dup.bitmap(s), dtype=np.uint64) for s in sets]
+    bits = np.stack([near_dup.narrowed(b[None], min(h.size for h in held))[0] for b in held])
+    share = lambda a, b: np.intersect1d(a, b).size / np.union1d(a, b).size
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if share(sets[i], sets[j]) > 0.8}
+    got = {(int(i), int(j)) for x, y in near_dup.likely_pairs(n, bits, n, bits, True, 0.8) for i, j in zip(x, y)}
+    assert len(want) == 1 and want == got
+    assert sum(x.size for x, _ in near_dup.likely_pairs(n[:4], bits[:4], n[4:], bits[4:], False, 0.8)) == sum(i < 4 <= j for i, j in want)
+
+
+def test_ngram_matches_equal_counters():
+    from collections import Counter
+
+    draw = random.Random(9)
+    sides = [["".join(draw.choice("abc\U0001f600") for _ in range(draw.randrange(12))) for _ in range(30)] for _ in "hr"]
+    units = [np.frombuffer("".join(s).encode("utf-32-le"), dtype="<u4") for s in sides]
+    sizes = [np.array([len(t) for t in s]) for s in sides]
+    for n, found in enumerate(metrics.ngram_matches(units, sizes, 6), 1):
+        for i, (a, b) in enumerate(zip(*sides)):
+            x, y = (Counter(t[k : k + n] for k in range(len(t) - n + 1)) for t in (a, b))
+            assert [int(f[i]) for f in found] == [x.total(), y.total(), (x & y).total()]
+
+
+def test_no_plan_has_a_row_an_ngram_or_reads_texts_twice(spark):
+    """chrF++ counts n-grams where rows are read; glued words come from one scan of the texts; grams are counted without making strings."""
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan("chrf_corpus") and "Join" not in plan("chrf_corpus")
+    assert "documents" not in plan("glued_words") and "split(" not in plan("glued_words")
+    assert "MapInArrow" in plan("char_ngrams_size") and "regexp_extract_all" not in plan("char_ngrams_size")
+    assert plan("prompt_rules_local").count(r"regexp_replace(content") <= 1
